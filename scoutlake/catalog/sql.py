@@ -172,6 +172,77 @@ FROM flowname f LEFT JOIN host30 h ON h.src_ip = f.src_ip"""
 CTES["f20"] = "SELECT * EXCLUDE (host_rate_20, host_rate_34), host_rate_20 AS host_packet_rate FROM feat"
 CTES["f34"] = "SELECT * EXCLUDE (host_rate_20, host_rate_34), host_rate_34 AS host_packet_rate FROM feat"
 
+RULE_CONFIDENCE = """CAST(CASE WHEN host_port_entropy > 2.2 AND host_failed_flow_ratio > 0.8 THEN 0.95
+  WHEN host_dst_diversity > 4 AND host_syn_ratio > 0.8 THEN 0.90 ELSE 0.0 END AS DOUBLE)"""
+
+
+def _scored(source: str) -> str:
+    return f"""
+SELECT *, {RULE_CONFIDENCE} AS confidence, CAST({RULE_CONFIDENCE} > 0 AS INT) AS prediction,
+       CAST((first_id * 37) % 101 AS DOUBLE) AS drift_score
+FROM {source}"""
+
+
+CTES["scored20"] = _scored("f20")
+CTES["scored34"] = _scored("f34")
+CTES["alert0"] = """
+SELECT *, least(1.0, greatest(0.0, round(
+    CASE WHEN prediction = 1 THEN confidence * 0.45 ELSE confidence * 0.1 END
+  + CASE WHEN host_port_entropy > 3 THEN 0.2 WHEN host_port_entropy > 2 THEN 0.1 ELSE 0 END
+  + CASE WHEN host_failed_flow_ratio > 0.8 THEN 0.2 WHEN host_failed_flow_ratio > 0.5 THEN 0.1 ELSE 0 END
+  + CASE WHEN host_dst_diversity > 10 THEN 0.15 WHEN host_dst_diversity > 4 THEN 0.08 ELSE 0 END
+  + CASE WHEN drift_score > 75 THEN 0.2 WHEN drift_score > 40 THEN 0.1 ELSE 0 END, 9))) AS alert_score
+FROM scored20"""
+CTES["alert"] = """
+SELECT *, CASE WHEN alert_score >= 0.75 THEN 'HIGH' WHEN alert_score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  concat_ws('|',
+    CASE WHEN prediction = 1 THEN printf('ML Model Classification (Confidence: %.1f%%)', confidence * 100) END,
+    CASE WHEN host_port_entropy > 3 THEN printf('Critical Destination Port Entropy (%.3f)', host_port_entropy)
+         WHEN host_port_entropy > 2 THEN printf('Moderate Destination Port Entropy (%.3f)', host_port_entropy) END,
+    CASE WHEN host_failed_flow_ratio > 0.8 THEN printf('Severe Failed Connection Rate (%.1f%%)', host_failed_flow_ratio * 100)
+         WHEN host_failed_flow_ratio > 0.5 THEN printf('Elevated Failed Connection Rate (%.1f%%)', host_failed_flow_ratio * 100) END,
+    CASE WHEN host_dst_diversity > 10 THEN printf('Critical Subnet Target Diversity (%d hosts)', CAST(host_dst_diversity AS INT))
+         WHEN host_dst_diversity > 4 THEN printf('Moderate Subnet Target Diversity (%d hosts)', CAST(host_dst_diversity AS INT)) END,
+    CASE WHEN drift_score > 75 THEN printf('Severe Behavioral Drift Score (%.1f/100)', drift_score)
+         WHEN drift_score > 40 THEN printf('Moderate Behavioral Drift Score (%.1f/100)', drift_score) END) AS evidence
+FROM alert0"""
+CTES["threat0"] = """
+SELECT *, syn > 0 AND ack = 0 AS is_syn, fin > 0 AND syn = 0 AND ack = 0 AS is_fin, no_flags AS is_null,
+  CASE WHEN NOT (prediction = 1 OR host_port_entropy > 2.0) THEN 'Standard Session'
+       WHEN syn > 0 AND ack = 0 THEN 'TCP SYN Stealth Reconnaissance'
+       WHEN fin > 0 AND syn = 0 AND ack = 0 THEN 'TCP FIN Stealth Reconnaissance'
+       WHEN no_flags THEN 'TCP NULL Stealth Reconnaissance'
+       WHEN host_dst_diversity > 4 THEN 'Subnet Discovery Sweep'
+       ELSE 'Stealth Port Sweep' END AS scan_category
+FROM scored34"""
+CTES["threat1"] = """
+SELECT *,
+  CASE scan_category WHEN 'TCP SYN Stealth Reconnaissance' THEN 90.0 WHEN 'TCP FIN Stealth Reconnaissance' THEN 100.0
+    WHEN 'TCP NULL Stealth Reconnaissance' THEN 100.0 WHEN 'Subnet Discovery Sweep' THEN 80.0
+    WHEN 'Stealth Port Sweep' THEN 70.0 ELSE 0.0 END AS rule_confidence,
+  CASE scan_category WHEN 'TCP SYN Stealth Reconnaissance' THEN ['T1595 (Active Scanning)', 'T1046 (Network Service Scanning)']
+    WHEN 'TCP FIN Stealth Reconnaissance' THEN ['T1595.002 (Active Scanning: Ports)', 'T1046']
+    WHEN 'TCP NULL Stealth Reconnaissance' THEN ['T1595.002', 'T1046']
+    WHEN 'Subnet Discovery Sweep' THEN ['T1595.001 (Active Scanning: IP Addresses)']
+    WHEN 'Stealth Port Sweep' THEN ['T1046 (Network Service Scanning)'] ELSE [] END AS mitre,
+  least(100.0, host_port_entropy * 15 + host_dst_diversity * 5 + host_failed_flow_ratio * 50) AS behavior_score,
+  least(100.0, CASE WHEN is_fin OR is_null THEN 80 ELSE 0 END + CASE WHEN is_syn THEN 50 ELSE 0 END
+      + host_proto_entropy * 20 + host_syn_ratio * 30) AS protocol_score,
+  CASE WHEN packets <= 3 AND is_syn THEN greatest(85.0, least(100.0, flow_syn_ack_ratio * 50))
+      ELSE least(100.0, flow_syn_ack_ratio * 50) END AS flow_score,
+  least(100.0, abs(host_burstiness) * 50) AS historical_score
+FROM threat0"""
+CTES["threat2"] = """
+SELECT *, CASE WHEN scan_category = 'Standard Session' THEN least(25.0, fusedscore) ELSE fusedscore END AS threat_score
+FROM (SELECT *, round(0.30 * (confidence * 100) + 0.20 * behavior_score + 0.20 * protocol_score
+   + 0.15 * rule_confidence + 0.10 * flow_score + 0.05 * historical_score, 9) AS fusedscore FROM threat1)"""
+CTES["threat"] = """
+SELECT *, CASE WHEN threat_score >= 91 THEN 'CRITICAL' WHEN threat_score >= 71 THEN 'HIGH'
+     WHEN threat_score >= 51 THEN 'MEDIUM' WHEN threat_score >= 26 THEN 'LOW' ELSE 'SAFE' END AS severity,
+  CASE proto WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'Other' END AS protocol,
+  strftime(to_timestamp(floor(start_s)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS timestamp
+FROM threat2"""
+
 
 def with_ctes(body: str) -> str:
     """``body`` with every CTE it mentions (directly or through others) in front."""
@@ -187,10 +258,11 @@ def with_ctes(body: str) -> str:
     need(body)
     parts = [f"{name} AS ({CTES[name]})" for name in order]
     body = body.strip()
-    recursive = body.upper().startswith("WITH RECURSIVE")
-    if recursive:
-        parts.append(body[len("WITH RECURSIVE") :].strip())
-        return "WITH RECURSIVE " + ",\n".join(parts)
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    head, recursive = "WITH ", "WITH RECURSIVE "
+    if body.startswith(recursive):
+        return recursive + ",\n".join([*parts, body[len(recursive) :]])
+    if body.startswith(head):
+        return head + ",\n".join([*parts, body[len(head) :]])
+    return head + ",\n".join(parts) + "\n" + body

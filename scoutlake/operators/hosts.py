@@ -207,7 +207,9 @@ def flow_feature_columns(duration_floor: float = 0.0001) -> dict[str, Column]:
 
 
 FLOW_IDS = ["capture", "segment", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto"]
-FLOW_FACTS = ["packets", "syn", "ack", "rst", "fin", "no_flags", "start_s", "end_s", "duration_s"]
+FLOW_FACTS = [
+    "first_id", "packets", "syn", "ack", "rst", "fin", "no_flags", "start_s", "end_s", "duration_s",
+]
 
 
 def attach_hosts(flows: DataFrame, hosts: DataFrame) -> DataFrame:
