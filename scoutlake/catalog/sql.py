@@ -247,22 +247,21 @@ FROM threat2"""
 def with_ctes(body: str) -> str:
     """``body`` with every CTE it mentions (directly or through others) in front."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text):
-            if name in CTES and name not in order:
+            if name in CTES and name not in seen:
+                seen.add(name)
                 need(CTES[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(body)
-    parts = [f"{name} AS ({CTES[name]})" for name in order]
     body = body.strip()
-    if not parts:
+    parts = [f"{name} AS ({CTES[name]})" for name in order]
+    if not parts and not body.startswith("WITH "):
         return body
-    head, recursive = "WITH ", "WITH RECURSIVE "
-    if body.startswith(recursive):
-        return recursive + ",\n".join([*parts, body[len(recursive) :]])
-    if body.startswith(head):
-        return head + ",\n".join([*parts, body[len(head) :]])
-    return head + ",\n".join(parts) + "\n" + body
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return "WITH RECURSIVE " + ",\n".join([*parts, body[len(head) :]])
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

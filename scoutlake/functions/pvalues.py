@@ -7,6 +7,7 @@ from itertools import product
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -56,13 +57,13 @@ def signed_rank_tail(ranks: list[float], w: float) -> float:
     return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     pairs = zip(x, df, strict=True)
     return pd.Series([None if pd.isna(a) else chi2_tail(float(a), int(b)) for a, b in pairs])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def signed_rank_p(ranks: pd.Series, w: pd.Series) -> pd.Series:
     pairs = zip(ranks, w, strict=True)
     return pd.Series([signed_rank_tail([float(v) for v in r], float(x)) for r, x in pairs])
