@@ -38,11 +38,23 @@ SELECT src_ip, n, q1 / (q1 + q6 + q17), q6 / (q1 + q6 + q17), q17 / (q1 + q6 + q
     CASE WHEN c6 > 0 THEN p6 + (c6 / packet_count - p6) / t.n ELSE p6 END AS q6,
     CASE WHEN c17 > 0 THEN p17 + (c17 / packet_count - p17) / t.n ELSE p17 END AS q17
   FROM shares s JOIN tick t ON t.src_ip = s.src_ip AND t.n = s.n + 1)"""
-CTES["base"] = """
-SELECT t.src_ip, t.n AS samples, t.t AS tick, avg(packet_count / elapsed) OVER w AS base_packet_rate, avg(bytes_transferred / elapsed) OVER w AS base_bytes_sec,
-  avg(destination_ip_count) OVER w AS base_destination_diversity, avg(destination_port_count) OVER w AS base_port_diversity,
-  avg(session_count) OVER w AS base_session_count, avg(mean_session_duration) OVER w AS base_session_duration, p1, p6, p17
-FROM tick t JOIN shares s ON s.src_ip = t.src_ip AND s.n = t.n WINDOW w AS (PARTITION BY t.src_ip ORDER BY t.n)"""
+_MEANS = {
+    "base_packet_rate": "packet_count / elapsed",
+    "base_bytes_sec": "bytes_transferred / elapsed",
+    "base_destination_diversity": "destination_ip_count",
+    "base_port_diversity": "destination_port_count",
+    "base_session_count": "session_count",
+    "base_session_duration": "mean_session_duration",
+}
+# The running mean is stepped the way it is defined, so truncated means agree too.
+CTES["means"] = f"""
+SELECT src_ip, n, {", ".join(f"CAST({x} AS DOUBLE) AS {m}" for m, x in _MEANS.items())} FROM tick WHERE n = 1
+UNION ALL
+SELECT t.src_ip, t.n, {", ".join(f"{m} + (CAST(1 AS DOUBLE) / t.n) * ({x} - {m})" for m, x in _MEANS.items())}
+FROM means s JOIN tick t ON t.src_ip = s.src_ip AND t.n = s.n + 1"""
+CTES["base"] = f"""
+SELECT t.src_ip, t.n AS samples, t.t AS tick, {", ".join(_MEANS)}, p1, p6, p17
+FROM tick t JOIN shares s ON s.src_ip = t.src_ip AND s.n = t.n JOIN means m ON m.src_ip = t.src_ip AND m.n = t.n"""
 
 
 def moved(now: str, base: str) -> str:

@@ -135,16 +135,16 @@ def a7(spark, sf):
     return al.score_alerts(scored).select("flow_id", F.concat_ws("|", "evidence").alias("evidence"))
 
 
-A8_SQL = """WITH RECURSIVE base AS (
+A8_SQL = """WITH RECURSIVE cand AS (
   SELECT src_ip, dst_ip, CASE proto WHEN 6 THEN 'tcp' ELSE 'other' END AS category, end_s, first_id FROM segflow),
 chain AS (
-  SELECT src_ip, dst_ip, category, min(end_s) AS t FROM base GROUP BY ALL
+  SELECT src_ip, dst_ip, category, min(end_s) AS t FROM cand GROUP BY ALL
   UNION ALL
-  SELECT c.src_ip, c.dst_ip, c.category, min(b.end_s) FROM chain c JOIN base b
+  SELECT c.src_ip, c.dst_ip, c.category, min(b.end_s) FROM chain c JOIN cand b
   ON b.src_ip = c.src_ip AND b.dst_ip = c.dst_ip AND b.category = c.category AND b.end_s - c.t > 60
   GROUP BY c.src_ip, c.dst_ip, c.category, c.t)
 SELECT b.src_ip, b.dst_ip, b.category, min(b.first_id) AS first_id, round(c.t, 6) AS end_s
-FROM chain c JOIN base b ON b.src_ip = c.src_ip AND b.dst_ip = c.dst_ip AND b.category = c.category AND b.end_s = c.t
+FROM chain c JOIN cand b ON b.src_ip = c.src_ip AND b.dst_ip = c.dst_ip AND b.category = c.category AND b.end_s = c.t
 GROUP BY b.src_ip, b.dst_ip, b.category, c.t"""
 
 

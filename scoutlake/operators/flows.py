@@ -10,7 +10,7 @@ endpoints are counted separately and the initiator picks which one is "forward".
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.functions.exprs import has_flag, spread
@@ -59,6 +59,24 @@ def _merge_side(side: str):
     ]
 
 
+def flow_counters() -> list[Column]:
+    """Aggregates over keyed packets; all of them merge, in batch and in streams."""
+    is_tcp = F.col("proto") == 6
+    return [
+        F.min("pkt_id").alias("first_id"),
+        F.min_by(F.col("from_lo").cast("int"), "pkt_id").alias("first_lo"),
+        F.min_by("ts_s", "pkt_id").alias("start_s"),
+        F.max_by("ts_s", "pkt_id").alias("end_s"),
+        *_side("lo"),
+        *_side("hi"),
+        *[
+            F.count_if(is_tcp & has_flag(F.col("flags"), letter)).alias(name)
+            for name, letter in FLAG_LETTERS.items()
+        ],
+        F.count_if(F.length("flags") > 0).alias("flagged"),
+    ]
+
+
 def assemble_flows(
     packets: DataFrame,
     timeout_s: float | None = None,
@@ -76,19 +94,8 @@ def assemble_flows(
             "part", F.sum(F.when(late, 1).otherwise(0)).over(arrival)
         ).withColumn("gap", F.when(~late, F.col("gap")))
 
-    is_tcp = F.col("proto") == 6
     pieces = keyed.groupBy(*KEY, "chunk", "part").agg(
-        F.min("pkt_id").alias("first_id"),
-        F.min_by(F.col("from_lo").cast("int"), "pkt_id").alias("first_lo"),
-        F.min_by("ts_s", "pkt_id").alias("start_s"),
-        F.max_by("ts_s", "pkt_id").alias("end_s"),
-        *_side("lo"),
-        *_side("hi"),
-        *[
-            F.count_if(is_tcp & has_flag(F.col("flags"), letter)).alias(name)
-            for name, letter in FLAG_LETTERS.items()
-        ],
-        F.count_if(F.length("flags") > 0).alias("flagged"),
+        *flow_counters(),
         F.count("gap").alias("gap_n"),
         F.avg("gap").alias("gap_mean"),
         (F.var_pop("gap") * F.count("gap")).alias("gap_m2"),
@@ -121,10 +128,11 @@ def assemble_flows(
         gap_mean.alias("interval_mean"),
         gap_var.alias("interval_var"),
     )
-    return _orient(merged)
+    return oriented(merged)
 
 
-def _orient(merged: DataFrame) -> DataFrame:
+def oriented(merged: DataFrame) -> DataFrame:
+    """Endpoint counts turned into forward and backward, seen from the first packet."""
     lo_starts = F.col("first_lo") == 1
 
     def pick(a: str, b: str):
@@ -158,6 +166,7 @@ def _orient(merged: DataFrame) -> DataFrame:
             "flow_id": flow_id(),
         }
     )
+    intervals = [c for c in ["interval_mean", "interval_var"] if c in merged.columns]
     return flows.select(
         *KEY,
         "segment",
@@ -178,8 +187,7 @@ def _orient(merged: DataFrame) -> DataFrame:
         "duration_s",
         "size_mean",
         "size_var",
-        "interval_mean",
-        "interval_var",
+        *intervals,
     )
 
 
