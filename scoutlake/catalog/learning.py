@@ -21,9 +21,9 @@ from scoutlake.sources.events_view import read_packets
 SMALL = {
     "random_forest": {"trees": 20, "depth": 8},
     "xgboost": {"depth": 5, "rate": 0.1, "rounds": 10},
-    "svm": {"C": 1.0},
+    "svm": {"C": 1.0, "iterations": 15},
     "isolation_forest": {"contamination": 0.1, "trees": 100},
-    "mlp": {"hidden": 16},
+    "mlp": {"hidden": 16, "iterations": 50},
 }
 
 
@@ -109,7 +109,7 @@ def m11(spark, sf):
 @query("m11_both_directions")
 def m11_directions(spark, sf):
     split = dataset(spark, sf)
-    models = {"random_forest": {"trees": 5, "depth": 5}, "svm": {"C": 1.0}}
+    models = {"random_forest": {"trees": 5, "depth": 5}, "svm": SMALL["svm"]}
     even, odd = split.filter("row_id % 2 = 0"), split.filter("row_id % 2 = 1")
     return rounded(mo.both_directions(even, odd, ("A", "B"), models, 42))
 

@@ -139,8 +139,7 @@ def fit(
 
     picked = tree_samples(df.select(row_id, *features), row_id, trees, sample, seed)
     nodes = picked.groupBy("tree").applyInPandas(build, NODES).toPandas()
-    forest = IsolationForest(features, nodes, trees, min(sample, max(len(nodes), 1)))
-    forest.sample = min(sample, max(int(df.limit(sample).count()), 1))
+    forest = IsolationForest(features, nodes, trees, max(df.limit(sample).count(), 1))
     scored = forest.anomaly(df.select(row_id, *features))
     cut = scored.agg(F.percentile_approx("anomaly", 1.0 - contamination, 10000)).first()[0]
     forest.cut = float(cut if cut is not None else 0.5)

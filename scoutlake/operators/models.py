@@ -93,11 +93,12 @@ def _boosted(p, seed, width, n):
 
 def _svm(p, seed, width, n):
     # The penalty C of summed losses as a regularisation of the mean loss.
-    return LinearSVC(labelCol="label", regParam=1.0 / (p["C"] * max(n, 1)), maxIter=100, standardization=False)
+    penalty = 1.0 / (p["C"] * max(n, 1))
+    return LinearSVC(labelCol="label", regParam=penalty, maxIter=p["iterations"], standardization=False)
 
 
 def _mlp(p, seed, width, n):
-    return MultilayerPerceptronClassifier(labelCol="label", layers=[width, p["hidden"], 2], maxIter=200, seed=seed)
+    return MultilayerPerceptronClassifier(labelCol="label", layers=[width, p["hidden"], 2], maxIter=p["iterations"], seed=seed)
 
 
 FAMILIES: dict[str, Family] = {
@@ -107,9 +108,9 @@ FAMILIES: dict[str, Family] = {
     "xgboost": Family(
         [{"depth": d, "rate": r, "rounds": 100} for d in (5, 7) for r in (0.1, 0.05)], _boosted
     ),
-    "svm": Family([{"C": c} for c in (1.0, 5.0)], _svm, scaled=True, from_margin=True),
+    "svm": Family([{"C": c, "iterations": 100} for c in (1.0, 5.0)], _svm, scaled=True, from_margin=True),
     "isolation_forest": Family([{"contamination": 0.1, "trees": 100}], None),
-    "mlp": Family([{"hidden": h} for h in (100, 200)], _mlp, scaled=True),
+    "mlp": Family([{"hidden": h, "iterations": 200} for h in (100, 200)], _mlp, scaled=True),
 }
 
 
