@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutlake.functions.exprs import has_flag, spread
+from scoutlake.functions.exprs import spread
 from scoutlake.functions.gaps import merged_gap_stats
 from scoutlake.params import DEFAULT
 
@@ -25,56 +25,65 @@ FLAG_LETTERS = {"syn": "S", "ack": "A", "rst": "R", "fin": "F", "psh": "P"}
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Direction-free key: the endpoint that sorts first (as text, then port) is 'lo'."""
-    src, dst = F.col("src_ip"), F.col("dst_ip")
-    keeps = (src < dst) | ((src == dst) & (F.col("src_port") <= F.col("dst_port")))
-    return packets.withColumns(
-        {
-            "from_lo": keeps,
-            "ip_lo": F.when(keeps, src).otherwise(dst),
-            "ip_hi": F.when(keeps, dst).otherwise(src),
-            "port_lo": F.when(keeps, F.col("src_port")).otherwise(F.col("dst_port")),
-            "port_hi": F.when(keeps, F.col("dst_port")).otherwise(F.col("src_port")),
-        }
+    keyed = packets.selectExpr(
+        "*", "src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port) AS from_lo"
+    )
+    return keyed.selectExpr(
+        "*",
+        "CASE WHEN from_lo THEN src_ip ELSE dst_ip END AS ip_lo",
+        "CASE WHEN from_lo THEN dst_ip ELSE src_ip END AS ip_hi",
+        "CASE WHEN from_lo THEN src_port ELSE dst_port END AS port_lo",
+        "CASE WHEN from_lo THEN dst_port ELSE src_port END AS port_hi",
     )
 
 
-def _side(side: str):
-    mine = F.col("from_lo") if side == "lo" else ~F.col("from_lo")
-    size = F.col("payload_len").cast("bigint")
-    return [
-        F.count_if(mine).alias(f"{side}_packets"),
-        F.sum(F.when(mine, size).otherwise(F.lit(0))).alias(f"{side}_bytes"),
-        F.sum(F.when(mine, size * size).otherwise(F.lit(0))).alias(f"{side}_sq"),
-        F.count_if(mine & has_flag(F.col("flags"), "S")).alias(f"{side}_syn_any"),
-        F.min(F.when(mine, F.col("ts_s"))).alias(f"{side}_first"),
-        F.max(F.when(mine, F.col("ts_s"))).alias(f"{side}_last"),
-    ]
+# What is counted for either endpoint of a flow, and how the counts merge.
+SIDE_MERGE = {
+    "packets": "sum", "bytes": "sum", "sq": "sum", "syn_any": "sum", "first": "min", "last": "max"
+}
 
 
-def _merge_side(side: str):
-    sums = ["packets", "bytes", "sq", "syn_any"]
-    return [F.sum(f"{side}_{c}").alias(f"{side}_{c}") for c in sums] + [
-        F.min(f"{side}_first").alias(f"{side}_first"),
-        F.max(f"{side}_last").alias(f"{side}_last"),
+def _side(side: str, mine: str) -> list[str]:
+    size = "CAST(payload_len AS BIGINT)"
+    return [
+        f"count_if({mine}) AS {side}_packets",
+        f"sum(CASE WHEN {mine} THEN {size} ELSE 0 END) AS {side}_bytes",
+        f"sum(CASE WHEN {mine} THEN {size} * {size} ELSE 0 END) AS {side}_sq",
+        f"count_if({mine} AND contains(upper(flags), 'S')) AS {side}_syn_any",
+        f"min(CASE WHEN {mine} THEN ts_s END) AS {side}_first",
+        f"max(CASE WHEN {mine} THEN ts_s END) AS {side}_last",
     ]
 
 
 def flow_counters() -> list[Column]:
     """Aggregates over keyed packets; all of them merge, in batch and in streams."""
-    is_tcp = F.col("proto") == 6
-    return [
-        F.min("pkt_id").alias("first_id"),
-        F.min_by(F.col("from_lo").cast("int"), "pkt_id").alias("first_lo"),
-        F.min_by("ts_s", "pkt_id").alias("start_s"),
-        F.max_by("ts_s", "pkt_id").alias("end_s"),
-        *_side("lo"),
-        *_side("hi"),
+    texts = [
+        "min(pkt_id) AS first_id",
+        "min_by(CAST(from_lo AS INT), pkt_id) AS first_lo",
+        "min_by(ts_s, pkt_id) AS start_s",
+        "max_by(ts_s, pkt_id) AS end_s",
+        *_side("lo", "from_lo"),
+        *_side("hi", "NOT from_lo"),
         *[
-            F.count_if(is_tcp & has_flag(F.col("flags"), letter)).alias(name)
+            f"count_if(proto = 6 AND contains(upper(flags), '{letter}')) AS {name}"
             for name, letter in FLAG_LETTERS.items()
         ],
-        F.count_if(F.length("flags") > 0).alias("flagged"),
+        "count_if(length(flags) > 0) AS flagged",
+    ]
+    return [F.expr(t) for t in texts]
+
+
+def merged_counters() -> list[Column]:
+    """The same counters merged from parts of a flow."""
+    texts = [
+        "min(first_id) AS first_id",
+        "min_by(first_lo, first_id) AS first_lo",
+        "min_by(start_s, first_id) AS start_s",
+        "max_by(end_s, first_id) AS end_s",
+        *[f"{how}({s}_{c}) AS {s}_{c}" for s in ("lo", "hi") for c, how in SIDE_MERGE.items()],
+        *[f"sum({name}) AS {name}" for name in (*FLAG_LETTERS, "flagged")],
     ]
+    return [F.expr(t) for t in texts]
 
 
 def assemble_flows(
@@ -117,87 +126,62 @@ def assemble_flows(
 
     gap_mean, gap_var = merged_gap_stats("chunk", "gap_n", "gap_mean", "gap_m2", "edge")
     merged = pieces.groupBy(*KEY, "segment").agg(
-        F.min("first_id").alias("first_id"),
-        F.min_by("first_lo", "first_id").alias("first_lo"),
-        F.min_by("start_s", "first_id").alias("start_s"),
-        F.max_by("end_s", "first_id").alias("end_s"),
-        *_merge_side("lo"),
-        *_merge_side("hi"),
-        *[F.sum(name).alias(name) for name in FLAG_LETTERS],
-        F.sum("flagged").alias("flagged"),
-        gap_mean.alias("interval_mean"),
-        gap_var.alias("interval_var"),
+        *merged_counters(), gap_mean.alias("interval_mean"), gap_var.alias("interval_var")
     )
     return oriented(merged)
 
 
+FLOW_ID = "concat(src_ip, ':', src_port, '-', dst_ip, ':', dst_port, '/', proto)"
+
+
 def oriented(merged: DataFrame) -> DataFrame:
     """Endpoint counts turned into forward and backward, seen from the first packet."""
-    lo_starts = F.col("first_lo") == 1
-
-    def pick(a: str, b: str):
-        return F.when(lo_starts, F.col(a)).otherwise(F.col(b))
-
-    names = ["packets", "bytes", "sq", "syn_any", "first", "last"]
-    fwd = {f"fwd_{n}": pick(f"lo_{n}", f"hi_{n}") for n in names}
-    bwd = {f"bwd_{n}": pick(f"hi_{n}", f"lo_{n}") for n in names}
-    flows = merged.withColumns(
-        {
-            "src_ip": pick("ip_lo", "ip_hi"),
-            "dst_ip": pick("ip_hi", "ip_lo"),
-            "src_port": pick("port_lo", "port_hi"),
-            "dst_port": pick("port_hi", "port_lo"),
-            **fwd,
-            **bwd,
-        }
-    ).withColumns(
-        {
-            "packets": F.col("fwd_packets") + F.col("bwd_packets"),
-            "bytes": F.col("fwd_bytes") + F.col("bwd_bytes"),
-            "duration_s": F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s")),
-            "no_flags": (F.col("proto") == 6) & (F.col("flagged") == 0),
-        }
-    )
-    size_sq = F.col("fwd_sq") + F.col("bwd_sq")
-    flows = flows.withColumns(
-        {
-            "size_mean": F.col("bytes") / F.col("packets"),
-            "size_var": spread("packets", "bytes", size_sq),
-            "flow_id": flow_id(),
-        }
+
+    def pick(a: str, b: str, name: str) -> str:
+        return f"CASE WHEN first_lo = 1 THEN {a} ELSE {b} END AS {name}"
+
+    sides = [
+        pick(f"{x}_{c}", f"{y}_{c}", f"{way}_{c}")
+        for way, x, y in (("fwd", "lo", "hi"), ("bwd", "hi", "lo"))
+        for c in SIDE_MERGE
+    ]
+    turned = merged.selectExpr(
+        "*",
+        pick("ip_lo", "ip_hi", "src_ip"),
+        pick("ip_hi", "ip_lo", "dst_ip"),
+        pick("port_lo", "port_hi", "src_port"),
+        pick("port_hi", "port_lo", "dst_port"),
+        *sides,
+    ).selectExpr(
+        "*",
+        "fwd_packets + bwd_packets AS packets",
+        "fwd_bytes + bwd_bytes AS bytes",
+        "fwd_sq + bwd_sq AS _sq",
     )
     intervals = [c for c in ["interval_mean", "interval_var"] if c in merged.columns]
-    return flows.select(
+    return turned.withColumn("size_var", spread("packets", "bytes", "_sq")).selectExpr(
         *KEY,
         "segment",
         "first_id",
-        "flow_id",
+        f"{FLOW_ID} AS flow_id",
         "src_ip",
         "dst_ip",
         "src_port",
         "dst_port",
         "packets",
         "bytes",
-        *fwd,
-        *bwd,
+        *[f"{way}_{c}" for way in ("fwd", "bwd") for c in SIDE_MERGE],
         *FLAG_LETTERS,
-        "no_flags",
+        "proto = 6 AND flagged = 0 AS no_flags",
         "start_s",
         "end_s",
-        "duration_s",
-        "size_mean",
+        "greatest(0.0D, end_s - start_s) AS duration_s",
+        "bytes / packets AS size_mean",
         "size_var",
         *intervals,
     )
 
 
-def flow_id():
-    return F.concat(
-        F.col("src_ip"), F.lit(":"), F.col("src_port"), F.lit("-"),
-        F.col("dst_ip"), F.lit(":"), F.col("dst_port"), F.lit("/"), F.col("proto"),
-    )
-
-
 def active_flows(flows: DataFrame, as_of: float, timeout_s: float) -> DataFrame:
     """Flows still open at ``as_of``: begun by then and last seen within the timeout."""
     return flows.filter(

@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutlake.functions.exprs import entropy_bits, ratio0, spread
+from scoutlake.functions.exprs import entropy_bits, spread
 from scoutlake.functions.gaps import sorted_gap_moments
 from scoutlake.operators.flows import KEY, with_flow_key
 from scoutlake.params import DEFAULT, Params
 from scoutlake.schemas import FEATURES_20, FEATURES_34, HOST_FEATURES, HOST_FEATURES_EXTRA
-from scoutlake.session import checked_broadcast
+from scoutlake.session import small_table
 
 HOST_KEY = ["capture", "window_s", "src_ip"]
 
@@ -33,7 +33,7 @@ def flows_in_windows(
     """
     if as_of is None:
         latest = flows.groupBy("capture").agg(F.max("end_s").alias("as_of"))
-        flows = flows.join(checked_broadcast(latest), "capture")
+        flows = flows.join(small_table(latest), "capture")
     else:
         flows = flows.withColumn("as_of", F.lit(float(as_of)))
     # Whole seconds: an integer key keeps joins and windows on one partitioning.
@@ -49,48 +49,30 @@ def _contributions(windowed: DataFrame) -> DataFrame:
     A flow between two ports of one address has initiator-side packets both ways.
     """
 
-    def side(prefix: str, port: str, first: bool) -> Column:
-        return F.struct(
-            F.col("dst_ip").alias("dst"),
-            F.col(port).alias("port"),
-            F.lit(1 if first else 0).alias("flows"),
-            *[
-                F.col(f"{prefix}_{c}").alias(c)
-                for c in ["packets", "bytes", "sq", "syn_any", "first", "last"]
-            ],
-        )
 
-    loops = (F.col("src_ip") == F.col("dst_ip")) & (F.col("bwd_packets") > 0)
-    sides = F.array_compact(
-        F.array(side("fwd", "dst_port", True), F.when(loops, side("bwd", "src_port", False)))
-    )
-    failed = (F.col("syn") > 0) & (F.col("ack") == 0)
-    return windowed.select(
-        *HOST_KEY, "proto", failed.alias("failed"), F.explode(sides).alias("s")
-    ).select(*HOST_KEY, "proto", "failed", "s.*")
+    def side(prefix: str, port: str, flows: int) -> str:
+        counts = ["packets", "bytes", "sq", "syn_any", "first", "last"]
+        fields = ", ".join(f"'{c}', {prefix}_{c}" for c in counts)
+        return f"named_struct('dst', dst_ip, 'port', {port}, 'flows', {flows}, {fields})"
+
+    loops = "src_ip = dst_ip AND bwd_packets > 0"
+    back = f"CASE WHEN {loops} THEN {side('bwd', 'src_port', 0)} END"
+    return windowed.selectExpr(
+        *HOST_KEY,
+        "proto",
+        "syn > 0 AND ack = 0 AS failed",
+        f"explode(array_compact(array({side('fwd', 'dst_port', 1)}, {back}))) AS s",
+    ).selectExpr(*HOST_KEY, "proto", "failed", "s.*")
 
 
 def value_counts(windowed: DataFrame) -> DataFrame:
     """Packets per (host, dimension, value); dimensions: ip, port (TCP/UDP), proto."""
-    part = _contributions(windowed)
-    ported = F.col("proto").isin(6, 17)
-    dims = F.array_compact(
-        F.array(
-            F.struct(F.lit("ip").alias("dim"), F.col("dst").alias("value")),
-            F.when(
-                ported,
-                F.struct(
-                    F.lit("port").alias("dim"), F.col("port").cast("string").alias("value")
-                ),
-            ),
-            F.struct(F.lit("proto").alias("dim"), F.col("proto").cast("string").alias("value")),
-        )
-    )
-    return (
-        part.select(*HOST_KEY, "packets", F.explode(dims).alias("d"))
-        .groupBy(*HOST_KEY, "d.dim", "d.value")
-        .agg(F.sum("packets").alias("c"))
-    )
+    dims = """array_compact(array(
+        named_struct('dim', 'ip', 'value', dst),
+        CASE WHEN proto IN (6, 17) THEN named_struct('dim', 'port', 'value', CAST(port AS STRING)) END,
+        named_struct('dim', 'proto', 'value', CAST(proto AS STRING))))"""
+    part = _contributions(windowed).selectExpr(*HOST_KEY, "packets", f"explode({dims}) AS d")
+    return part.groupBy(*HOST_KEY, "d.dim", "d.value").agg(F.sum("packets").alias("c"))
 
 
 def dimension_entropy(counts: DataFrame) -> DataFrame:
@@ -108,23 +90,16 @@ def dimension_entropy(counts: DataFrame) -> DataFrame:
 
 
 def host_totals(windowed: DataFrame) -> DataFrame:
-    n = F.col("packets")
-    return (
-        _contributions(windowed)
-        .groupBy(*HOST_KEY)
-        .agg(
-            F.sum("packets").alias("packets"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("sq").alias("sq"),
-            F.sum("syn_any").alias("syn_any"),
-            F.sum(F.when(F.col("port") == 53, n).otherwise(0)).alias("dns"),
-            F.sum(F.when(F.col("proto") == 1, n).otherwise(0)).alias("icmp"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.sum("flows").alias("flows"),
-            F.sum(F.when(F.col("failed"), F.col("flows")).otherwise(0)).alias("failed"),
-        )
-    )
+    sums = ["packets", "bytes", "sq", "syn_any", "flows"]
+    texts = [
+        *[f"sum({c}) AS {c}" for c in sums],
+        "sum(CASE WHEN port = 53 THEN packets ELSE 0 END) AS dns",
+        "sum(CASE WHEN proto = 1 THEN packets ELSE 0 END) AS icmp",
+        "min(first) AS first",
+        "max(last) AS last",
+        "sum(CASE WHEN failed THEN flows ELSE 0 END) AS failed",
+    ]
+    return _contributions(windowed).groupBy(*HOST_KEY).agg(*[F.expr(t) for t in texts])
 
 
 def initiator_times(
@@ -156,54 +131,57 @@ def host_profiles(
     gaps = sorted_gap_moments(
         initiator_times(packets, windowed, segmented), HOST_KEY, "ts_s", bucket_s
     )
-    span = F.col("last") - F.col("first")
-    mean = F.when(F.col("packets") > 1, span / (F.col("packets") - 1)).otherwise(F.lit(0.0))
-    dev = F.sqrt("gap_var")
-    return (
+    host = (
         host_totals(windowed)
         .join(dimension_entropy(value_counts(windowed)), HOST_KEY)
         .join(gaps, HOST_KEY)
-        .select(
-            *HOST_KEY,
-            F.col("port_entropy").alias("host_port_entropy"),
-            F.col("ip_entropy").alias("host_dst_entropy"),
-            F.col("ip_distinct").cast("double").alias("host_dst_diversity"),
-            ratio0("syn_any", "packets").alias("host_syn_ratio"),
-            ratio0("failed", "flows").alias("host_failed_flow_ratio"),
-            (F.col("packets") / F.greatest(F.lit(rate_floor), span)).alias("host_packet_rate"),
-            mean.alias("host_interval_mean"),
-            F.col("gap_var").alias("host_interval_var"),
-            spread("packets", "bytes", "sq").alias("host_packet_size_var"),
-            F.col("port_distinct").cast("double").alias("host_port_diversity"),
-            F.col("proto_entropy").alias("host_proto_entropy"),
-            ratio0("dns", "packets").alias("host_dns_ratio"),
-            ratio0("icmp", "packets").alias("host_icmp_ratio"),
-            ((dev - mean) / F.greatest(F.lit(0.0001), dev + mean)).alias("host_burstiness"),
-            span.alias("host_session_duration"),
-            F.col("packets").alias("host_packets"),
-            F.col("flows").alias("host_flows"),
+        .withColumn("host_packet_size_var", spread("packets", "bytes", "sq"))
+        .selectExpr(
+            "*",
+            "last - first AS span",
+            "CASE WHEN packets > 1 THEN (last - first) / (packets - 1) ELSE 0.0D END AS mean",
+            "sqrt(gap_var) AS dev",
         )
     )
+    return host.selectExpr(
+        *HOST_KEY,
+        "port_entropy AS host_port_entropy",
+        "ip_entropy AS host_dst_entropy",
+        "CAST(ip_distinct AS DOUBLE) AS host_dst_diversity",
+        "syn_any / packets AS host_syn_ratio",
+        "failed / flows AS host_failed_flow_ratio",
+        f"packets / greatest({rate_floor}D, span) AS host_packet_rate",
+        "mean AS host_interval_mean",
+        "gap_var AS host_interval_var",
+        "host_packet_size_var",
+        "CAST(port_distinct AS DOUBLE) AS host_port_diversity",
+        "proto_entropy AS host_proto_entropy",
+        "dns / packets AS host_dns_ratio",
+        "icmp / packets AS host_icmp_ratio",
+        "(dev - mean) / greatest(0.0001D, dev + mean) AS host_burstiness",
+        "span AS host_session_duration",
+        "packets AS host_packets",
+        "flows AS host_flows",
+    )
 
 
 def flow_feature_columns(duration_floor: float = 0.0001) -> dict[str, Column]:
-    n = F.col("packets")
-    busy = F.greatest(F.lit(duration_floor), F.col("duration_s"))
-    columns = {
-        "flow_duration": F.col("duration_s"),
-        "flow_packet_count": n,
-        "flow_bytes": F.col("bytes"),
-        **{f"flow_{f}_ratio": F.col(f) / n for f in ["syn", "ack", "rst", "fin"]},
-        "flow_size_mean": F.col("size_mean"),
-        "flow_size_var": F.col("size_var"),
-        "flow_interval_mean": F.col("interval_mean"),
-        "flow_interval_var": F.col("interval_var"),
-        "flow_packets_per_sec": n / busy,
-        "flow_bytes_per_sec": F.col("bytes") / busy,
-        "flow_syn_ack_ratio": F.col("syn") / F.greatest(F.lit(1), F.col("ack")),
-        **{f"flow_tcp_{f}": F.col(f) for f in ["syn", "ack", "rst", "fin", "psh"]},
+    busy = f"greatest({duration_floor}D, duration_s)"
+    texts = {
+        "flow_duration": "duration_s",
+        "flow_packet_count": "packets",
+        "flow_bytes": "bytes",
+        **{f"flow_{f}_ratio": f"{f} / packets" for f in ["syn", "ack", "rst", "fin"]},
+        "flow_size_mean": "size_mean",
+        "flow_size_var": "size_var",
+        "flow_interval_mean": "interval_mean",
+        "flow_interval_var": "interval_var",
+        "flow_packets_per_sec": f"packets / {busy}",
+        "flow_bytes_per_sec": f"bytes / {busy}",
+        "flow_syn_ack_ratio": "syn / greatest(1, ack)",
+        **{f"flow_tcp_{f}": f for f in ["syn", "ack", "rst", "fin", "psh"]},
     }
-    return {name: c.cast("double") for name, c in columns.items()}
+    return {name: F.expr(f"CAST({t} AS DOUBLE)") for name, t in texts.items()}
 
 
 FLOW_IDS = ["capture", "segment", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto"]
@@ -216,16 +194,17 @@ def attach_hosts(flows: DataFrame, hosts: DataFrame) -> DataFrame:
     """Flow features plus the profile of the initiator; hosts outside the window get
     defaults (diversity 1, the rest 0)."""
     names = HOST_FEATURES + HOST_FEATURES_EXTRA
-    featured = flows.select(
-        *FLOW_IDS, *FLOW_FACTS, *[c.alias(k) for k, c in flow_feature_columns().items()]
-    )
+    features = flow_feature_columns()
+    featured = flows.select(*FLOW_IDS, *FLOW_FACTS, *[c.alias(k) for k, c in features.items()])
     joined = featured.join(
         hosts.select("capture", "src_ip", *names), ["capture", "src_ip"], "left"
     )
-    filled = {
-        n: F.coalesce(F.col(n), F.lit(1.0 if n == "host_dst_diversity" else 0.0)) for n in names
-    }
-    return joined.withColumns(filled)
+
+    def filled(name: str) -> str:
+        default = "1.0D" if name == "host_dst_diversity" else "0.0D"
+        return f"coalesce({name}, {default}) AS {name}"
+
+    return joined.selectExpr(*FLOW_IDS, *FLOW_FACTS, *features, *[filled(n) for n in names])
 
 
 def feature_table(

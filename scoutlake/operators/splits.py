@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.schemas import FEATURES_20
-from scoutlake.session import checked_broadcast
+from scoutlake.session import checked_broadcast, small_table
 
 
 def row_hash(row_id: str, seed: int = 42) -> Column:
@@ -44,7 +44,7 @@ def cut_points(
     )
     inside = Window.partitionBy(group, "_bucket").orderBy("_at")
     return (
-        keyed.join(checked_broadcast(crossing), [group, "_bucket"])
+        keyed.join(small_table(crossing), [group, "_bucket"])
         .withColumn("rank", F.row_number().over(inside))
         .filter(F.col("rank") == F.col("take"))
         .select(group, F.col("_at").alias("_cut"))
@@ -64,7 +64,7 @@ def within_quota(
     cuts = cut_points(df, group, row_id, order, quota, bucket)
     at = F.struct(order.alias("o"), F.col(row_id).alias("i"))
     return (
-        df.join(checked_broadcast(cuts), group, "left")
+        df.join(small_table(cuts), group, "left")
         .withColumn(flag, F.coalesce(at <= F.col("_cut"), F.lit(False)))
         .drop("_cut")
     )

@@ -75,3 +75,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT.broadcast_rows) ->
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A table of a few rows per capture or class, computed once: up to ``max_rows`` rows
+    become a local, broadcast relation; a larger one stays as it is."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
