@@ -213,8 +213,10 @@ def baselines(ticks: DataFrame, cap: int = DEFAULT.running_mean_cap) -> DataFram
 
 
 def _moved(current: Column, base: Column) -> Column:
+    """Relative change, at most 1. From nothing to something counts as 1."""
+    appeared = F.when(current > 0, 1.0).otherwise(0.0)
     relative = F.least(F.lit(1.0), F.abs(current - base) / F.nullif(base, F.lit(0.0)))
-    return F.coalesce(relative, F.when(current > 0, 1.0).otherwise(0.0))
+    return F.when(base == 0, appeared).otherwise(relative)
 
 
 def share_distance(counts: Column, shares: Column) -> Column:
