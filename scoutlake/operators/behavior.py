@@ -8,6 +8,8 @@ holds all events of one host.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,42 +176,45 @@ def baselines(ticks: DataFrame, cap: int = DEFAULT.running_mean_cap) -> DataFram
     move before all are scaled back to 1.
 
     The fold depends on its own result, so it runs in Python, over ticks (at most one
-    per interval and host), never over events.
+    per interval and host) in host and time order, never over events.
     """
     names = list(BASELINES)
+    own = [f.name for f in ticks.schema.fields if f.name in HOST]
     schema = T.StructType(
         [f for f in ticks.schema.fields if f.name in HOST]
         + [T.StructField("tick", T.DoubleType()), T.StructField("samples", T.LongType())]
         + [T.StructField(f"base_{n}", T.DoubleType()) for n in names]
         + [T.StructField("base_protocols", T.MapType(T.StringType(), T.DoubleType()))]
     )
+    inputs = [*own, "tick", "protocol_usage", *BASELINES.values()]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick", ignore_index=True)
-        seen = {n: pdf[c].to_numpy(dtype=float) for n, c in BASELINES.items()}
-        state = dict.fromkeys(names, 0.0)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, samples = None, 0
+        means: list[float] = []
         shares: dict[str, float] = {}
-        rows = []
-        for i in range(len(pdf)):
-            alpha = 1.0 / min(i + 1, cap)
-            for n in names:
-                state[n] += alpha * (seen[n][i] - state[n])
-            usage = dict(pdf["protocol_usage"].iloc[i])
-            whole = sum(usage.values())
-            if whole > 0:
-                for p, c in usage.items():
-                    old = shares.get(p, 0.0)
-                    shares[p] = old + alpha * (c / whole - old)
-                mass = sum(shares.values())
-                if mass > 0:
-                    shares = {p: v / mass for p, v in shares.items()}
-            rows.append((pdf["tick"].iloc[i], i + 1, *state.values(), dict(shares)))
-        out = pd.DataFrame(rows, columns=[f.name for f in schema.fields[len(HOST) :]])
-        for k in HOST:
-            out[k] = pdf[k].iloc[0]
-        return out[[f.name for f in schema.fields]]
-
-    return ticks.groupBy(*HOST).applyInPandas(fold, schema)
+        for pdf in batches:
+            rows = []
+            for row in pdf[inputs].itertuples(index=False, name=None):
+                key, (tick, usage, *seen) = row[: len(own)], row[len(own) :]
+                if key != host:
+                    host, samples, means, shares = key, 0, [0.0] * len(names), {}
+                samples += 1
+                alpha = 1.0 / min(samples, cap)
+                means = [m + alpha * (x - m) for m, x in zip(means, seen, strict=True)]
+                usage = dict(usage)
+                whole = sum(usage.values())
+                if whole > 0:
+                    for p, c in usage.items():
+                        old = shares.get(p, 0.0)
+                        shares[p] = old + alpha * (c / whole - old)
+                    mass = sum(shares.values())
+                    if mass > 0:
+                        shares = {p: v / mass for p, v in shares.items()}
+                rows.append((*key, tick, samples, *means, dict(shares)))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    ordered = ticks.select(*inputs).repartition(*HOST).sortWithinPartitions(*HOST, "tick")
+    return ordered.mapInPandas(fold, schema)
 
 
 def _moved(current: Column, base: Column) -> Column:

@@ -207,6 +207,8 @@ def train_grid(
                     row_id, "label", "prediction", "score",
                 )
                 predictions = scored if predictions is None else predictions.unionByName(scored)
+        train.unpersist()
+        val.unpersist()
     return predictions, models_out
 
 

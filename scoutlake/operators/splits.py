@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.schemas import FEATURES_20
-from scoutlake.session import checked_broadcast, small_table
+from scoutlake.session import checked_broadcast, small_table, stage
 
 
 def row_hash(row_id: str, seed: int = 42) -> Column:
@@ -20,12 +20,15 @@ def row_hash(row_id: str, seed: int = 42) -> Column:
 
 
 def cut_points(
-    df: DataFrame, group: str, row_id: str, order: Column, quota: Column, bucket: Column | None = None
-) -> DataFrame:
+    df: DataFrame, group: str, row_id: str, order: Column, quota: Column,
+    bucket: Column | None = None, limit: int = 2_000_000,
+) -> DataFrame:
     """(group, _cut): the (order, id) of the last row within ``quota`` of its group.
 
     ``quota`` is written over ``n``, the rows of the group. Groups with quota 0 get no
     row. ``bucket`` must not decrease with ``order``; the default suits 64-bit hashes.
+    A bucket of more than ``limit`` rows (many rows of one instant) is range-partitioned
+    by (order, id) instead of being ordered in one task.
     """
     bucket = F.shiftright(order, 44) if bucket is None else bucket
     keyed = df.select(
@@ -40,17 +43,40 @@ def cut_points(
         .withColumn("n", F.sum("c").over(whole))
         .withColumn("quota", F.least(F.col("n"), quota.cast("bigint")))
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota")))
-        .select(group, "_bucket", (F.col("quota") - F.col("upto") + F.col("c")).alias("take"))
+        .select(group, "_bucket", "c", (F.col("quota") - F.col("upto") + F.col("c")).alias("take"))
     )
-    inside = Window.partitionBy(group, "_bucket").orderBy("_at")
+    crossing = small_table(crossing)
+    near = keyed.join(crossing, [group, "_bucket"]).drop("_bucket")
+    if crossing.filter(F.col("c") > limit).limit(1).count() > 0:
+        near = _range_part(near, group, limit)
+    else:
+        near = near.withColumn("_part", F.lit(0))
+    inside = Window.partitionBy(group, "_part").orderBy("_at")
     return (
-        keyed.join(small_table(crossing), [group, "_bucket"])
-        .withColumn("rank", F.row_number().over(inside))
+        near.withColumn("rank", F.row_number().over(inside))
         .filter(F.col("rank") == F.col("take"))
         .select(group, F.col("_at").alias("_cut"))
     )
 
 
+def _range_part(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """The range partition of each group that holds its ``take``-th row, with ``take``
+    counted from the start of that partition."""
+    pieces = max(2, int(rows.count() // max(limit // 2, 1)) + 1)
+    placed = rows.repartitionByRange(pieces, group, "_at").withColumn("_part", F.spark_partition_id())
+    # Staged, because partition numbers must be the same for the counts and the rows.
+    placed = stage(placed, "range-parts")
+    along = Window.partitionBy(group).orderBy("_part")
+    sizes = placed.groupBy(group, "_part", "take").agg(F.count(F.lit(1)).alias("_c"))
+    holds = (
+        sizes.withColumn("_upto", F.sum("_c").over(along))
+        .filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_c") < F.col("take")))
+        .select(group, "_part", (F.col("take") - F.col("_upto") + F.col("_c")).alias("_left"))
+    )
+    kept = placed.join(small_table(holds), [group, "_part"])
+    return kept.withColumn("take", F.col("_left")).drop("_left")
+
+
 def within_quota(
     df: DataFrame,
     group: str,

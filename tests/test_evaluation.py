@@ -106,6 +106,13 @@ def test_temporal_split_with_one_crowded_instant(spark):
     assert got == {"train": list(range(70)), "val": list(range(70, 80)), "test": list(range(80, 100))}
 
 
+@pytest.mark.parametrize("limit", [10**6, 7])
+def test_cut_inside_a_crowded_bucket(spark, limit):
+    df = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("g"), F.lit(5.0).alias("t"))
+    cuts = sp.cut_points(df.repartition(6), "g", "row_id", F.col("t"), F.lit(60), F.lit(0), limit)
+    assert {r["g"]: r["_cut"]["i"] for r in cuts.collect()} == {0: 118, 1: 119}
+
+
 def test_verification_names_the_subset(spark):
     df = spark.createDataFrame([("s", "train", 0), ("s", "train", 1), ("s", "test", 1)], "strategy string, subset string, label int")
     with pytest.raises(ValueError, match="s/test"):
