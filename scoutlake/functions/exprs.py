@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,8 +43,9 @@ def logistic(c: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Text with a fixed number of decimals; ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+    """Text with a fixed number of decimals; ties go to the even digit, null stays null."""
+    text = F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+    return F.when(c.isNotNull(), text)
 
 
 def utc_text(seconds: Column | str, fmt: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
@@ -53,8 +55,11 @@ def utc_text(seconds: Column | str, fmt: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Co
     return F.date_format(moment, fmt)
 
 
-def has_flag(flags: Column, letter: str) -> Column:
-    return F.upper(flags).contains(letter)
+def filled(template: str, **columns: Column) -> Column:
+    """Text of a template whose {names} are replaced by columns."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    parts = [columns[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces) if p]
+    return F.concat(*parts)
 
 
 def compact_array(items: list[Column]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutlake.functions.chains import latest_node, spaced_chain, with_neighbours
-from scoutlake.functions.exprs import compact_array, fixed, total
+from scoutlake.functions.exprs import compact_array, filled, fixed, total
 from scoutlake.operators.flows import KEY, with_flow_key
 from scoutlake.params import DEFAULT, Params
 from scoutlake.session import stage
@@ -314,47 +314,44 @@ def host_drift(
     return joined.withColumns(zeros).withColumn("drift_score", drift_score(params))
 
 
+# Notes on how a host departs from its baseline.
+NOTES = {
+    "first": "{name} appeared for the first time (currently {now}).",
+    "moved_to": "{name} {verb} from {base} to {now}.",
+    "moved_by": "{name} {verb} by {percent}%.",
+    "syn": "SYN ratio increased significantly.",
+    "deviates": "Host behavior deviates {times}x from its historical baseline.",
+}
+
+
 def drift_notes(params: Params = DEFAULT, syn_ratio: str | None = None) -> Column:
     """Plain-language notes on how a host differs from its baseline."""
     rate = F.col("packet_count") / F.lit(params.drift_window_s)
-    pairs = [
+    # (name, current, baseline, shown as a whole number)
+    measured = [
         ("Packet rate", rate, F.col("base_packet_rate"), False),
         ("Destination diversity", F.col("destination_ip_count"), F.col("base_destination_diversity"), True),
         ("Port diversity", F.col("destination_port_count"), F.col("base_port_diversity"), True),
     ]
-
-    def note(name: str, now: Column, base: Column, whole: bool) -> Column:
+    notes, ratios = [], []
+    for name, now, base, whole in measured:
         ratio = now / F.nullif(base, F.lit(0.0))
         change = F.round(F.abs(ratio - 1.0) * 100.0, 9)
-        shown = now.cast("int").cast("string") if whole else fixed(now, 1)
-        first = F.concat(F.lit(f"{name} appeared for the first time (currently "), shown, F.lit(")."))
+        common = {"name": F.lit(name), "verb": F.when(ratio > 1.0, "increased").otherwise("decreased")}
         if whole:
-            by = F.concat(
-                F.lit(" from "), base.cast("int").cast("string"), F.lit(" to "), now.cast("int").cast("string"), F.lit(".")
-            )
+            shown = now.cast("int")
+            moved = filled(NOTES["moved_to"], **common, base=base.cast("int"), now=shown)
         else:
-            by = F.concat(F.lit(" by "), fixed(change, 0), F.lit("%."))
-        verb = F.when(ratio > 1.0, " increased").otherwise(" decreased")
-        return (
-            F.when((base == 0) & (now > 0), first)
-            .when((base != 0) & (change >= 20.0), F.concat(F.lit(name), verb, by))
-        )
-
-    notes = [note(*p) for p in pairs]
+            shown = fixed(now, 1)
+            moved = filled(NOTES["moved_by"], **common, percent=fixed(change, 0))
+        first = filled(NOTES["first"], name=F.lit(name), now=shown)
+        notes.append(F.when((base == 0) & (now > 0), first).when(change >= 20.0, moved))
+        ratios.append(F.coalesce(ratio, F.lit(1.0)))
     if syn_ratio is not None:
-        notes.append(F.when(F.col(syn_ratio) > 0.6, F.lit("SYN ratio increased significantly.")))
-    ratios = [F.coalesce(now / F.nullif(base, F.lit(0.0)), F.lit(1.0)) for _, now, base, _ in pairs]
-    most = F.greatest(F.lit(1.0), *ratios)
-    drift = F.col("drift_score")
-
-    def deviates(times: Column) -> Column:
-        return F.concat(
-            F.lit("Host behavior deviates "), fixed(times, 1), F.lit("x from its historical baseline.")
-        )
-
-    notes.append(
-        F.when((drift > 0) & (most > 2.0), deviates(most)).when(drift > 30, deviates(drift / 10.0))
-    )
+        notes.append(F.when(F.col(syn_ratio) > 0.6, F.lit(NOTES["syn"])))
+    drift, most = F.col("drift_score"), F.greatest(F.lit(1.0), *ratios)
+    times = F.when((drift > 0) & (most > 2.0), most).when(drift > 30, drift / 10.0)
+    notes.append(filled(NOTES["deviates"], times=fixed(times, 1)))
     ready = F.col("samples") >= params.baseline_min_ticks
     return F.when(ready, compact_array(notes)).otherwise(F.array().cast("array<string>"))
 

@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutlake.functions.exprs import private_ip
+from scoutlake.functions.exprs import filled, private_ip
 
-# Reputation classes.
+# Reputation classes and the texts of records without a feed.
 CRITICAL = "CRITICAL BLACKLISTED ATTACKER"
 SUSPICIOUS = "SUSPICIOUS HOST SCANNER"
 CLEAN = "CLEAN ENTITY"
+# column -> (blank query, private address)
+FIXED_TEXT = {
+    "isp": ("N/A", "Internal LAN Scope"),
+    "country": ("N/A", "Local Intranet"),
+    "blacklist_status": ("CLEAN", "SECURE"),
+    "enrichment_source": ("N/A", "RFC 1918 Address Lookup"),
+    "details": (
+        "Invalid target query.",
+        "Local private network address. Excluded from global blacklisting lookup.",
+    ),
+}
+RESOLVED = (
+    "Live aggregated intelligence resolved: Abuse Confidence {abuse}%. "
+    "VirusTotal flag count: {positives} positive hits."
+)
 
 
 def blacklist_status(abuse: Column, positives: Column) -> Column:
@@ -36,32 +51,24 @@ def enrich(addresses: DataFrame, reputation: DataFrame, ip: str = "ip") -> DataF
     def pick(if_blank, if_private, otherwise) -> Column:
         return F.when(blank, if_blank).when(private, if_private).otherwise(otherwise)
 
+    def text(name: str, otherwise: Column) -> Column:
+        return pick(*FIXED_TEXT[name], otherwise).alias(name)
+
     abuse = F.coalesce("abuse_score", F.lit(0))
     positives = F.coalesce("vt_positives", F.lit(0))
     no_ports = F.array().cast("array<int>")
-    detail = F.concat(
-        F.lit("Live aggregated intelligence resolved: Abuse Confidence "), abuse.cast("string"),
-        F.lit("%. VirusTotal flag count: "), positives.cast("string"), F.lit(" positive hits."),
-    )
     return joined.select(
         "ip",
         F.coalesce(private, F.lit(False)).alias("is_private"),
-        pick(F.lit(0), F.lit(0), abuse).alias("abuse_score"),
-        pick(F.lit(0), F.lit(0), positives).alias("vt_positives"),
+        pick(0, 0, abuse).alias("abuse_score"),
+        pick(0, 0, positives).alias("vt_positives"),
         pick(no_ports, no_ports, F.coalesce("shodan_ports", no_ports)).alias("shodan_ports"),
-        pick(F.lit("N/A"), F.lit("Internal LAN Scope"), F.coalesce("isp", F.lit("Unknown ISP"))).alias("isp"),
-        pick(F.lit("N/A"), F.lit("Local Intranet"), F.coalesce("country", F.lit("Unknown Location"))).alias("country"),
-        pick(F.lit("CLEAN"), F.lit("SECURE"), blacklist_status(abuse, positives)).alias("blacklist_status"),
-        pick(
-            F.lit("N/A"), F.lit("RFC 1918 Address Lookup"),
-            F.coalesce("enrichment_source", F.lit("Unlisted")),
-        ).alias("enrichment_source"),
-        pick(
-            F.lit("Invalid target query."),
-            F.lit("Local private network address. Excluded from global blacklisting lookup."),
-            detail,
-        ).alias("details"),
-    )
+        text("isp", F.coalesce("isp", F.lit("Unknown ISP"))),
+        text("country", F.coalesce("country", F.lit("Unknown Location"))),
+        text("blacklist_status", blacklist_status(abuse, positives)),
+        text("enrichment_source", F.coalesce("enrichment_source", F.lit("Unlisted"))),
+        text("details", filled(RESOLVED, abuse=abuse, positives=positives)),
+    )
 
 
 def attach_intel(rows: DataFrame, reputation: DataFrame, ip: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.functions.chains import latest_node, spaced_chain
-from scoutlake.functions.exprs import compact_array, fixed, protocol_name, total, utc_text
+from scoutlake.functions.exprs import compact_array, filled, fixed, protocol_name, total, utc_text
 from scoutlake.params import DEFAULT
 
 # Category names, rule confidence and MITRE ATT&CK techniques.
@@ -127,103 +127,68 @@ def severity(score: Column) -> Column:
     return out.otherwise(F.lit("SAFE"))
 
 
+# Evidence texts of a threat report.
+EVIDENCE = {
+    "by_model": "[Detection Rationale] ML engine '{model}' classified flow as anomalous with "
+    "{confidence}% confidence. Final Threat Score: {score}/100.",
+    "by_score": "[Detection Rationale] Heuristic threat score reached {score}/100, exceeding "
+    "standard safe traffic thresholds.",
+    "by_baseline": "[Detection Rationale] Traffic profile matches standard baseline "
+    "(Threat Score: {score}/100).",
+    "techniques": "[MITRE ATT&CK Mapping] Matches adversarial techniques: {names}.",
+    "factors": "[Contributing Features] Anomalous behavioral indicators triggered: {names}.",
+    "factor_entropy": "High Port Entropy ({value})",
+    "factor_targets": "High Target Diversity ({value} IPs)",
+    "factor_failures": "Elevated Connection Failure Ratio ({value}%)",
+    "syn": "[Protocol Evidence] TCP SYN stealth scan signature detected (incomplete 3-way handshakes).",
+    "fin": "[Protocol Evidence] TCP FIN packet detected without prior connection state "
+    "(firewall bypass attempt).",
+    "null": "[Protocol Evidence] TCP NULL packet detected (zero flags set; potential OS fingerprinting probe).",
+    "mixed": "[Protocol Evidence] Protocol multiplexing or abnormal protocol usage detected (Entropy: {value}).",
+    "flow": "[Flow Statistics] SYN/ACK Ratio: {ratio}. Total Packets in Flow: {packets}.",
+    "bursty": "[Historical Deviation] Abnormal traffic burstiness detected (Index: {value}). "
+    "Indicates sharp deviation from historical baseline flow rates.",
+    "usual": "[Historical Deviation] Traffic burstiness (Index: {value}) remains within standard "
+    "historical bounds.",
+}
+
+
 def evidence(model: str) -> Column:
-    score = fixed(F.col("threat_score"), 1)
-    why = (
-        F.when(
-            F.col("prediction") == 1,
-            F.concat(
-                F.lit(f"[Detection Rationale] ML engine '{model}' classified flow as anomalous with "),
-                fixed(F.col("confidence") * 100, 1),
-                F.lit("% confidence. Final Threat Score: "),
-                score,
-                F.lit("/100."),
-            ),
-        )
-        .when(
-            F.col("threat_score") > 25,
-            F.concat(
-                F.lit("[Detection Rationale] Heuristic threat score reached "),
-                score,
-                F.lit("/100, exceeding standard safe traffic thresholds."),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("[Detection Rationale] Traffic profile matches standard baseline (Threat Score: "),
-                score,
-                F.lit("/100)."),
-            )
-        )
-    )
-    techniques = F.when(
-        F.size("mitre_mappings") > 0,
-        F.concat(
-            F.lit("[MITRE ATT&CK Mapping] Matches adversarial techniques: "),
-            F.concat_ws(", ", "mitre_mappings"),
-            F.lit("."),
-        ),
-    )
-    entropy, hosts, failed = (
-        F.col("host_port_entropy"), F.col("host_dst_diversity"), F.col("host_failed_flow_ratio")
-    )
+    """Evidence texts that apply, in the order of EVIDENCE."""
+
+    def say(key: str, **columns: Column) -> Column:
+        return filled(EVIDENCE[key], **columns)
+
+    score, burst = fixed(F.col("threat_score"), 1), F.abs("host_burstiness")
+    entropy, targets = F.col("host_port_entropy"), F.col("host_dst_diversity")
+    failed, mixed = F.col("host_failed_flow_ratio"), F.col("host_proto_entropy")
     factors = compact_array(
         [
-            F.when(entropy > 2.0, F.concat(F.lit("High Port Entropy ("), fixed(entropy, 2), F.lit(")"))),
-            F.when(hosts > 3, F.concat(F.lit("High Target Diversity ("), fixed(hosts, 0), F.lit(" IPs)"))),
-            F.when(
-                failed > 0.5,
-                F.concat(
-                    F.lit("Elevated Connection Failure Ratio ("), fixed(failed * 100, 1), F.lit("%)")
-                ),
-            ),
+            F.when(entropy > 2.0, say("factor_entropy", value=fixed(entropy, 2))),
+            F.when(targets > 3, say("factor_targets", value=fixed(targets, 0))),
+            F.when(failed > 0.5, say("factor_failures", value=fixed(failed * 100, 1))),
         ]
     )
-    contributing = F.when(
-        F.size(factors) > 0,
-        F.concat(
-            F.lit("[Contributing Features] Anomalous behavioral indicators triggered: "),
-            F.concat_ws(", ", factors),
-            F.lit("."),
-        ),
+    confidence = fixed(F.col("confidence") * 100, 1)
+    rationale = (
+        F.when(F.col("prediction") == 1, say("by_model", model=F.lit(model), confidence=confidence, score=score))
+        .when(F.col("threat_score") > 25, say("by_score", score=score))
+        .otherwise(say("by_baseline", score=score))
     )
-    tag = "[Protocol Evidence] "
     signature = (
-        F.when(F.col("is_syn"), tag + "TCP SYN stealth scan signature detected (incomplete 3-way handshakes).")
-        .when(F.col("is_fin"), tag + "TCP FIN packet detected without prior connection state (firewall bypass attempt).")
-        .when(F.col("is_null"), tag + "TCP NULL packet detected (zero flags set; potential OS fingerprinting probe).")
-    )
-    mixed = F.when(
-        F.col("host_proto_entropy") > 1.0,
-        F.concat(
-            F.lit(tag + "Protocol multiplexing or abnormal protocol usage detected (Entropy: "),
-            fixed(F.col("host_proto_entropy"), 2),
-            F.lit(")."),
-        ),
-    )
-    statistics = F.concat(
-        F.lit("[Flow Statistics] SYN/ACK Ratio: "),
-        fixed(F.col("flow_syn_ack_ratio"), 2),
-        F.lit(". Total Packets in Flow: "),
-        F.col("packets").cast("string"),
-        F.lit("."),
+        F.when(F.col("is_syn"), say("syn")).when(F.col("is_fin"), say("fin")).when(F.col("is_null"), say("null"))
     )
-    burst = F.abs("host_burstiness")
-    history = F.when(
-        burst > 0.5,
-        F.concat(
-            F.lit("[Historical Deviation] Abnormal traffic burstiness detected (Index: "),
-            fixed(burst, 2),
-            F.lit("). Indicates sharp deviation from historical baseline flow rates."),
-        ),
-    ).otherwise(
-        F.concat(
-            F.lit("[Historical Deviation] Traffic burstiness (Index: "),
-            fixed(burst, 2),
-            F.lit(") remains within standard historical bounds."),
-        )
+    return compact_array(
+        [
+            rationale,
+            F.when(F.size("mitre_mappings") > 0, say("techniques", names=F.concat_ws(", ", "mitre_mappings"))),
+            F.when(F.size(factors) > 0, say("factors", names=F.concat_ws(", ", factors))),
+            signature,
+            F.when(mixed > 1.0, say("mixed", value=fixed(mixed, 2))),
+            say("flow", ratio=fixed(F.col("flow_syn_ack_ratio"), 2), packets=F.col("packets")),
+            F.when(burst > 0.5, say("bursty", value=fixed(burst, 2))).otherwise(say("usual", value=fixed(burst, 2))),
+        ]
     )
-    return compact_array([why, techniques, contributing, signature, mixed, statistics, history])
 
 
 def threat_reports(scored: DataFrame, model: str = "rules") -> DataFrame:
