@@ -31,7 +31,7 @@ class Params:
     test_size: float = 0.2
     # Physical layout. chunk_rows bounds how many consecutive packets of one key
     # a single ordered task may see; it never changes a result.
-    chunk_rows: int = 1 << 22
+    chunk_rows: int = 1 << 20
     # Most rows a dimension may have and still be broadcast.
     broadcast_rows: int = 200_000
 
