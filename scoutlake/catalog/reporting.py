@@ -120,3 +120,13 @@ def r11(spark, sf):
 )
 def r12(spark, sf):
     return re.metric_table(me.evaluate(predictions(spark, sf), RUN), ["strategy", "seed"])
+
+
+@query("r14_summary_document")
+def r14(spark, sf):
+    from scoutlake.sources.captures import capture_metadata
+
+    packets = read_packets(spark, sf)
+    metadata = capture_metadata(packets).first().asDict()
+    text = re.summary_document(stage(_reports(spark, sf), "reports"), metadata, "rules")
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "line int, text string")

@@ -297,3 +297,18 @@ def t12(spark, sf):
         inc, "src_ip", "dst_ip", "scan_category", "packet_count", "flow_count", "protocol",
         "mitre_mappings", "ml_prediction", *INCIDENT_NUMBERS, "severity", "dst_port",
     )
+
+
+@query(
+    "c4_fill_absent_features",
+    f"""SELECT flow_id, {r6("confidence=" + RULE_CONFIDENCE)} FROM
+      (SELECT * REPLACE (CASE WHEN first_id % 2 = 1 THEN 0.0 ELSE host_failed_flow_ratio END AS host_failed_flow_ratio) FROM f20)""",
+)
+def c4(spark, sf):
+    from scoutlake.operators.prep import cleaned, with_missing
+    from scoutlake.schemas import FEATURES_20
+
+    gaps = features(read_packets(spark, sf)).withColumn(
+        "host_failed_flow_ratio", F.when(F.col("first_id") % 2 == 0, F.col("host_failed_flow_ratio"))
+    )
+    return rounded(de.score_by_rules(cleaned(with_missing(gaps), FEATURES_20)), "flow_id", "confidence")

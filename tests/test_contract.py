@@ -19,7 +19,7 @@ NO_SQL = {
     "m9_training_grid", "m10_feature_importances", "m11_ablation", "m11_both_directions", "m12_third_dataset",
     "m13_duplicate_sensitivity", "m15_save_and_load", "c2_model_scoring", "e21_attributions", "e24_run_metadata",
     "e16_bootstrap_interval", "e12_wilcoxon_p_values", "e14_pooled_mcnemar_p_values", "s13_file_hashes",
-    "q6_leading_bytes", "z3_live_evaluation", "z8_progress",
+    "q6_leading_bytes", "z3_live_evaluation", "z8_progress", "r14_summary_document",
 }
 SAMPLE = [
     "f6_flow_timeout", "g9_features_34", "h10_multi_scale_windows", "l2_heuristic_labels", "a5_alert_records",
