@@ -34,7 +34,8 @@ def oracle():
 
 
 def test_every_other_query_has_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    own = entry.catalog.load()
+    assert set(own.QUERIES) - set(own.ORACLES) == NO_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
