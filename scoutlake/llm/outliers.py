@@ -52,6 +52,8 @@ def _dup_lines(part: Slice) -> np.ndarray:
     breaks = np.flatnonzero(part.data == 0x0A)
     starts = np.union1d(part.byte_offsets[:-1], breaks + 1)
     starts = starts[starts < len(part.data)]
+    if not len(starts):
+        return np.zeros(len(part), np.int64)
     ends = np.append(starts[1:], len(part.data))
     ends = ends - (part.data[ends - 1] == 0x0A)  # the break is not part of its line
     worded = np.searchsorted(part.starts, ends) > np.searchsorted(part.starts, starts)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20  # characters of a run to be judged
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ANY_RUN = r"[A-Za-z0-9+/_=-]{4,}"
 KINDS = ("assign", "access", "hex", "markov")
 # Fixed value: the characters that the models know, in the order of their numbers.
@@ -89,6 +90,7 @@ def sample_runs(docs: DataFrame) -> DataFrame:
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
     plain = some.select(F.explode(F.regexp_extract_all(rest, F.lit(ANY_RUN), F.lit(0))).alias("run"))
+    plain = plain.where(F.length("run") < LEAST)  # longer ones are what is to be judged
     made = spark.range(DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("hex"))
     made = made.select(F.explode(F.array("hex", F.base64(F.unhex("hex")))).alias("run"))
     return random.unionByName(made).select(F.lit(True).alias("random"), "run").unionByName(
@@ -162,15 +164,16 @@ def listed(spans: str) -> Column:
     )
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) per row of ``docs``.
 
     A null text is empty; an empty text has no span and the digest of the empty text. Null
     ids and repeated rows are rows like others, and other columns are ignored. An empty
-    table gives no row; its models know digests only.
+    table gives no row; its models know digests only. ``model`` is by default trained on
+    ``docs``.
     """
     docs = docs.select("doc_id", "text")
-    found = all_spans(docs, train(docs))
+    found = all_spans(docs, model or train(docs))
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -183,10 +186,10 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, model: Model | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs``, all columns, with each stretch of secret characters replaced by ``mark``;
     ``n_chars``, where there is such a column, counts the new text. Null texts stay null."""
-    found = all_spans(docs, train(docs.select("doc_id", "text")))
+    found = all_spans(docs, model or train(docs.select("doc_id", "text")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
