@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutlake.llm.words import Lookup, arrow_map, crc_bucket, mixed, slices
+from scoutlake.llm.words import Lookup, arrow_map, crc_bucket, frequent, mixed, slices
 from scoutlake.session import stage
 
 STATES = 8
 ROUNDS = 4
 SYMBOLS = 4096  # tokens with a symbol of their own
 CLASSES = 512  # symbols that the other tokens share
-KNOWN = 1 << 18  # most frequent tokens whose counts every task holds
+KNOWN = 1 << 18  # at most so many frequent tokens, whose counts every task holds
 ADD = 0.1
 PRIOR = 20.0  # pseudo-count of the corpus distribution in each state
 SEED = 11
@@ -282,7 +282,7 @@ def score_documents(docs: DataFrame, held_out=None, rounds: int = ROUNDS) -> Dat
     counts = token_counts(docs)
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole["n"], whole["v"]
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c", "cls").toPandas()
+    top = frequent(counts, "c", KNOWN).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     vocabulary = Vocabulary(h, top["c"].to_numpy(np.int64))
     own = top.head(SYMBOLS)

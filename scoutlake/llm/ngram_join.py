@@ -17,17 +17,20 @@ a list still has many. The result is exact for every choice of pivots and of the
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.llm.graph import components
-from scoutlake.llm.words import Lookup, arrow_map, list_array, shingle_sets, slices
+from scoutlake.llm.words import Lookup, arrow_map, frequent, list_array, shingle_sets, slices
 from scoutlake.session import checked_broadcast, stage
 
-HEAVY = 100_000  # frequent shingles that the order puts last; they are broadcast
+HEAVY = 50_000  # at most so many frequent shingles, which the order puts last; they are broadcast
 BROADCAST_IDS = 1_000_000
+BINS = 256  # of a set's shingles by hash; they bound what two sets can share
+BIN_SHIFT = np.uint64(56)
 PIVOT_ROUNDS = 3
 CROWD = 256  # open pairs per posting above which lists get another pivot first
 
@@ -72,19 +75,20 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     return stage(arrow_map(docs.select("doc_id", "text"), kinds, make), "sets")
 
 
-def prefix_table(docs: DataFrame, size: int, percent: int, heavy: list[int]) -> DataFrame:
-    """(doc_id, n, grp, rare, prefix): a set's size, the hash of prefix and size, how many
-    of its shingles are not frequent, and the prefix in the global order."""
-    frequent = np.array(heavy, np.int64).view(np.uint64)
-    places = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((Lookup(frequent[places]), -places))
+def prefix_table(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
+    """(doc_id, n, grp, rare, prefix, bins): a set's size, the hash of prefix and size, how many
+    of its shingles are not frequent, the prefix in the global order, and the number of its
+    shingles in each of ``BINS`` bins."""
+    ranked = heavy.view(np.uint64)  # by falling frequency
+    places = np.argsort(ranked)
+    shared = docs.sparkSession.sparkContext.broadcast((Lookup(ranked[places]), -places))
 
     def make(batch):
         lookup, ranks = shared.value  # the least frequent of the frequent ones come first
         ids = batch.column(0)
         for part in slices(batch):
             sets = shingle_sets(part, size)
-            rows, heads, rare, groups = [], [], [], []
+            rows, heads, rare, groups, bins = [], [], [], [], []
             for k, s in enumerate(sets):
                 if not len(s):
                     continue
@@ -95,6 +99,7 @@ def prefix_table(docs: DataFrame, size: int, percent: int, heavy: list[int]) ->
                 rows.append(k)
                 heads.append(head)
                 rare.append(len(s) - len(last))
+                bins.append(np.bincount((s >> BIN_SHIFT).astype(np.int64), minlength=BINS).astype(np.int32))
                 groups.append(xxhash.xxh3_64_intdigest(head.tobytes() + len(s).to_bytes(8, "little")))
             if rows:
                 yield pa.record_batch(
@@ -104,12 +109,13 @@ def prefix_table(docs: DataFrame, size: int, percent: int, heavy: list[int]) ->
                         pa.array(np.array(groups, np.uint64).view(np.int64)),
                         pa.array(rare, pa.int64()),
                         list_array(heads),
+                        list_array(bins, np.int32),
                     ],
-                    names=["doc_id", "n", "grp", "rare", "prefix"],
+                    names=["doc_id", "n", "grp", "rare", "prefix", "bins"],
                 )
 
     return arrow_map(
-        docs.select("doc_id", "text"), "doc_id long, n long, grp long, rare long, prefix array<long>", make
+        docs.select("doc_id", "text"), "doc_id long, n long, grp long, rare long, prefix array<long>, bins array<int>", make
     )
 
 
@@ -133,11 +139,21 @@ def _near(percent: int):
     return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (small + large))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link, from whole texts."""
+def verified(docs: DataFrame, bins: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets link.
+
+    Two sets share at most the sum over bins of the smaller count; pairs that cannot reach
+    the threshold by that bound go first, at a few bytes each. The others are decided by
+    whole sets from whole texts.
+    """
     pairs = stage(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(checked_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi")
+    few = bins.join(checked_broadcast(_ids(pairs), BROADCAST_IDS), "doc_id", "left_semi")
+    left = few.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("x"))
+    right = few.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("y"))
+    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    able = pairs.join(left, "a").join(right, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    pairs = stage(able.select("a", "b").distinct(), "able")
+    texts = docs.join(checked_broadcast(_ids(pairs), BROADCAST_IDS), "doc_id", "left_semi")
     sets = stage(whole_sets(texts, size), "whole")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
@@ -146,7 +162,12 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
         pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("a", "b").distinct(),
         "links",
-    )
+    )
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    both = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    return both.distinct()
 
 
 def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -162,12 +183,9 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     docs = docs.select("doc_id", "text")
     table = set_table(docs, size)
     rows = table.where("key is not null").select("doc_id", "n", "key")
-    heavy = [
-        r["shingle"]
-        for r in table.where("key is null")
-        .groupBy("shingle").agg(F.sum("n").alias("times"))
-        .orderBy(F.desc("times"), "shingle").limit(HEAVY).select("shingle").collect()
-    ]
+    met = table.where("key is null").groupBy("shingle").agg(F.sum("n").alias("times"))
+    often = frequent(met, "times", HEAVY).toPandas().sort_values(["times", "shingle"], ascending=[False, True])
+    heavy = often["shingle"].to_numpy(np.int64)
     named = rows.where("doc_id is not null and n > 0")
     classes = named.groupBy("key").agg(F.min("doc_id").alias("cls"))
     members = stage(named.join(classes, "key").select("doc_id", "cls").distinct(), "classes")
@@ -182,13 +200,13 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
         "groups",
     )
     edges = copies.select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-    found = _components(docs, groups, _postings(prefixes, groups, heavy), edges, size, percent)
+    found = _components(docs, prefixes.select("doc_id", "n", "bins"), groups, _postings(prefixes, groups, heavy), edges, size, percent)
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def _postings(prefixes: DataFrame, groups: DataFrame, heavy: list[int]) -> DataFrame:
+def _postings(prefixes: DataFrame, groups: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(tok, lead, pos, n, rare) of groups, for shingles in the prefix of several groups.
 
     Frequent shingles are known and bounded in number, they pass at once and are dealt
@@ -196,7 +214,7 @@ def _postings(prefixes: DataFrame, groups: DataFrame, heavy: list[int]) -> DataF
     """
     others = groups.where("doc_id <> lead").select("doc_id")
     first = prefixes.join(checked_broadcast(others, BROADCAST_IDS), "doc_id", "left_anti")
-    known = prefixes.sparkSession.createDataFrame([(t, True) for t in heavy], "tok long, often boolean")
+    known = prefixes.sparkSession.createDataFrame(pd.DataFrame({"tok": heavy}), "tok long").withColumn("often", F.lit(True))
     lists = Window.partitionBy("tok", "salt").orderBy("lead")
     met = (
         first.select(F.col("doc_id").alias("lead"), F.posexplode("prefix").alias("pos", "tok"))
@@ -211,7 +229,7 @@ def _postings(prefixes: DataFrame, groups: DataFrame, heavy: list[int]) -> DataF
     return stage(met.join(facts, "lead"), "postings")
 
 
-def _components(docs, groups, met, edges, size, percent) -> DataFrame:
+def _components(docs, bins, groups, met, edges, size, percent) -> DataFrame:
     """Links by pivots, then by all pairs still open, and the components they make."""
     member = groups.select(F.col("lead").alias("a"), F.col("doc_id").alias("doc_a"))
     inner = groups.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
@@ -224,7 +242,7 @@ def _components(docs, groups, met, edges, size, percent) -> DataFrame:
             .select(F.col("a.lead").alias("a"), F.col("b.lead").alias("b")).distinct()
             .join(member, "a").select(F.col("doc_a").alias("a"), "b")
         )
-        links = links.unionByName(verified(docs, pairs if turn else pairs.unionByName(inner), size, percent))
+        links = links.unionByName(verified(docs, bins, pairs if turn else pairs.unionByName(inner), size, percent))
         known = stage(components(links), "components")
         open_lists = _open(met, _group_components(groups, known))
         if not _crowded(open_lists):
@@ -245,7 +263,7 @@ def _components(docs, groups, met, edges, size, percent) -> DataFrame:
         .join(own.select(F.col("lead").alias("b"), F.col("doc_id").alias("doc_b"), F.col("comp").alias("comp_b")), "b")
         .where("comp_a <> comp_b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
     )
-    return components(links.unionByName(verified(docs, pairs, size, percent)))
+    return components(links.unionByName(verified(docs, bins, pairs, size, percent)))
 
 
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
