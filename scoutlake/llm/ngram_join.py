@@ -17,7 +17,6 @@ a list still has many. The result is exact for every choice of pivots and of the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -27,7 +26,7 @@ from scoutlake.llm.graph import components
 from scoutlake.llm.words import Lookup, arrow_map, frequent, list_array, shingle_sets, slices
 from scoutlake.session import checked_broadcast, stage
 
-HEAVY = 50_000  # at most so many frequent shingles, which the order puts last; they are broadcast
+HEAVY = 1 << 18  # at most so many frequent shingles, which the order puts last; their hashes are broadcast
 BROADCAST_IDS = 1_000_000
 BINS = 256  # of a set's shingles by hash; they bound what two sets can share
 BIN_SHIFT = np.uint64(56)
@@ -200,13 +199,13 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
         "groups",
     )
     edges = copies.select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-    found = _components(docs, prefixes.select("doc_id", "n", "bins"), groups, _postings(prefixes, groups, heavy), edges, size, percent)
+    found = _components(docs, prefixes.select("doc_id", "n", "bins"), groups, _postings(prefixes, groups), edges, size, percent)
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def _postings(prefixes: DataFrame, groups: DataFrame, heavy: np.ndarray) -> DataFrame:
+def _postings(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
     """(tok, lead, pos, n, rare) of groups, for shingles in the prefix of several groups.
 
     Frequent shingles are known and bounded in number, they pass at once and are dealt
@@ -214,11 +213,10 @@ def _postings(prefixes: DataFrame, groups: DataFrame, heavy: np.ndarray) -> Data
     """
     others = groups.where("doc_id <> lead").select("doc_id")
     first = prefixes.join(checked_broadcast(others, BROADCAST_IDS), "doc_id", "left_anti")
-    known = prefixes.sparkSession.createDataFrame(pd.DataFrame({"tok": heavy}), "tok long").withColumn("often", F.lit(True))
     lists = Window.partitionBy("tok", "salt").orderBy("lead")
     met = (
-        first.select(F.col("doc_id").alias("lead"), F.posexplode("prefix").alias("pos", "tok"))
-        .join(F.broadcast(known), "tok", "left")
+        first.select(F.col("doc_id").alias("lead"), "rare", F.posexplode("prefix").alias("pos", "tok"))
+        .withColumn("often", F.col("pos") >= F.col("rare"))  # the order puts them last
         .withColumn("salt", F.when(F.col("often"), F.xxhash64("lead")).otherwise(0))
         .withColumn("after", F.lead("lead").over(lists))
         .withColumn("before", F.lag("lead").over(lists))
