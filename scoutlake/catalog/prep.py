@@ -141,18 +141,19 @@ def p1(spark, sf):
 
 @query(
     "p4_p6_coercion",
-    """SELECT row_id, round(coalesce(TRY_CAST("Packet Length Mean" AS DOUBLE), 0.0), 6) AS parsed,
+    """SELECT row_id, CASE WHEN isnan(coalesce(TRY_CAST("Packet Length Mean" AS DOUBLE), 0.0)) THEN NULL
+         ELSE round(coalesce(TRY_CAST("Packet Length Mean" AS DOUBLE), 0.0), 6) END AS parsed,
        round(CASE WHEN isnan(coalesce(TRY_CAST("Packet Length Mean" AS DOUBLE), 0.0)) OR isinf(coalesce(TRY_CAST("Packet Length Mean" AS DOUBLE), 0.0))
          THEN 0.0 ELSE coalesce(TRY_CAST("Packet Length Mean" AS DOUBLE), 0.0) END, 6) + 0.0 AS cleaned,
        round("Total Length of Fwd Packets" / nullif("Total Fwd Packets", 0), 6) AS per_packet
-       FROM cicraw WHERE "Packet Length Mean" <> 'NaN'""",
+       FROM cicraw""",
 )
 def p4(spark, sf):
-    raw = derived(spark, sf, CIC_RAW).filter("`Packet Length Mean` <> 'NaN'")
+    raw = derived(spark, sf, CIC_RAW)
     parsed = ex.to_number("Packet Length Mean")
     out = raw.select(
         "row_id",
-        parsed.alias("parsed"),
+        F.when(~F.isnan(parsed), parsed).alias("parsed"),  # NaN is null here, as no comparison holds for it
         ex.finite_or_zero(parsed).alias("cleaned"),
         ex.safe_div("Total Length of Fwd Packets", "Total Fwd Packets").alias("per_packet"),
     )

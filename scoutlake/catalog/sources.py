@@ -150,12 +150,12 @@ def q6(spark, sf):
 
 @query(
     "s15_union_of_tables",
-    """SELECT row_id, label, 'lab' AS dataset, source FROM dset WHERE source = 'F' UNION ALL SELECT row_id, label, 'field', NULL FROM dset WHERE source = 'O'""",
+    """SELECT row_id, label, 'lab' AS dataset, source FROM dset WHERE source = 'F' UNION ALL SELECT row_id, label, 'field', NULL FROM dset WHERE source IS DISTINCT FROM 'F'""",
 )
 def s15(spark, sf):
     rows = derived(spark, sf, DATASET)
     lab = rows.filter("source = 'F'").select("row_id", "label", F.lit("lab").alias("dataset"), "source")
-    field = rows.filter("source = 'O'").select("row_id", "label", F.lit("field").alias("dataset"))
+    field = rows.filter("NOT source <=> 'F'").select("row_id", "label", F.lit("field").alias("dataset"))
     return ta.union_tables([lab, field])
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,31 +30,15 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def signed_rank_tail(ranks: list[float], w: float) -> float:
-    """Two-sided p of the Wilcoxon statistic ``w`` = min(W+, W-).
-
-    Exact by counting sign patterns for up to 25 untied ranks, else normal with tie
-    correction.
-    """
-    n = len(ranks)
-    if n == 0:
-        return 1.0
-    whole = all(float(r).is_integer() for r in ranks) and len(set(ranks)) == n
-    if whole and n <= 25:
-        ways = {0: 1}
-        for r in ranks:
-            step: dict[int, int] = {}
-            for (s, c), take in product(ways.items(), (0, 1)):
-                key = s + int(r) * take
-                step[key] = step.get(key, 0) + c
-            ways = step
-        low = sum(c for s, c in ways.items() if s <= w)
-        return min(1.0, 2.0 * low / 2.0**n)
-    mean = n * (n + 1) / 4.0
-    ties = sum(ranks.count(r) ** 3 - ranks.count(r) for r in set(ranks))
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
-    if var <= 0:
+    """Two-sided p of the Wilcoxon statistic ``w`` = min(W+, W-): the exact distribution over
+    all sign patterns, for any number of ranks; tied (half) ranks count doubled."""
+    if not ranks:
         return 1.0
-    return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2.0))
+    chance = np.ones(1)
+    for r in sorted(ranks):
+        step = round(2 * r)
+        chance = (np.pad(chance, (0, step)) + np.pad(chance, (step, 0))) / 2
+    return min(1.0, 2.0 * float(chance[: math.floor(2 * w + 1e-9) + 1].sum()))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -15,30 +15,32 @@ from pyspark.sql import functions as F
 
 def shapley(
     rows: DataFrame, background: DataFrame, features: list[str], row_id: str,
-    score: Callable[[DataFrame], DataFrame], permutations: int = 8, seed: int = 42,
+    score: Callable[[DataFrame], DataFrame], permutations: int = 50, seed: int = 42,
+    background_rows: int = 50,
 ) -> DataFrame:
     """(row_id, feature, value): attribution of the positive-class score.
 
-    ``rows`` are the sampled rows to explain; ``background`` is thinned to one row per
-    permutation by hash. ``score`` adds a column ``score`` to feature columns.
+    ``rows`` are the sampled rows to explain; ``background`` is thinned to
+    ``background_rows`` by hash, which the permutations take in turn. ``score`` adds a column ``score`` to feature columns.
     """
     names = F.array(*[F.lit(f) for f in features])
     order = F.xxhash64(row_id, F.lit(seed))
     base = (
         background.orderBy(order, row_id)
-        .limit(permutations)
-        .select(F.struct(*features).alias("z"), F.row_number().over(Window.orderBy(order, row_id)).alias("perm"))
+        .limit(background_rows)
+        .select(F.struct(*features).alias("z"), F.row_number().over(Window.orderBy(order, row_id)).alias("back"))
     )
 
     def sort_key(name):
         return F.struct(F.xxhash64(F.col("perm"), F.lit(seed), name).alias("h"), name.alias("f"))
 
     shuffled = F.transform(F.array_sort(F.transform(names, sort_key)), lambda s: s["f"])
-    # One row per explained row and permutation: the background has that many rows.
+    # One row per explained row and permutation.
     pairs = (
         rows.select(row_id, F.struct(*features).alias("x"))
         .withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-        .join(F.broadcast(base), "perm")
+        .withColumn("back", (F.col("perm") - 1) % F.lit(max(base.count(), 1)) + 1)
+        .join(F.broadcast(base), "back")
         .withColumn("order", shuffled)
     )
     states = pairs.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))

@@ -19,7 +19,7 @@ from scoutlake.functions.chains import latest_node, spaced_chain, with_neighbour
 from scoutlake.functions.exprs import compact_array, filled, fixed, total
 from scoutlake.operators.flows import KEY, with_flow_key
 from scoutlake.params import DEFAULT, Params
-from scoutlake.session import stage
+from scoutlake.session import checked_broadcast, stage
 
 HOST = ["capture", "src_ip"]
 WINDOWS_S = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600}
@@ -457,18 +457,16 @@ def most_abnormal(drift: DataFrame, totals: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def drift_timeline(
-    events: DataFrame, base: DataFrame, hosts: list[str], every_s: float = 5.0, params: Params = DEFAULT
-) -> DataFrame:
-    """Drift of the named hosts, sampled at the first packet of the capture more than
-    ``every_s`` after the last sample, one column per host, gaps filled forward."""
+def drift_timeline(events: DataFrame, base: DataFrame, every_s: float = 5.0, params: Params = DEFAULT) -> DataFrame:
+    """(capture, src_ip, time, drift): drift of every host above 0, sampled at the first packet
+    of the capture more than ``every_s`` after the last sample; time counts from the first
+    such point of the capture. One column per host, with gaps filled, is a matter of display.
+    """
     late = events.filter(F.col("ts_s") > every_s)
     samples = spaced_chain(late, ["capture"], "ts_s", every_s, inclusive=False)
-    mine = events.filter(F.col("src_ip").isin(hosts))
-    base = base.filter(F.col("src_ip").isin(hosts))
     ready = base.filter(F.col("samples") == params.baseline_min_ticks).select(*HOST, F.col("tick").alias("_from"))
-    points = samples.join(F.broadcast(ready), "capture").filter("node >= _from").select(*HOST, F.col("node").alias("at"))
-    current = stats_at(mine, points, params.drift_window_s)
+    points = samples.join(checked_broadcast(ready), "capture").filter("node >= _from").select(*HOST, F.col("node").alias("at"))
+    current = stats_at(events, points, params.drift_window_s)
     rest = [c for c in base.columns if c not in [*HOST, "tick"]]
     timed = base.select(*HOST, F.col("tick").alias("at"), F.struct(*rest).alias("_base"))
     marked = current.withColumn("_point", F.lit(True)).unionByName(timed, allowMissingColumns=True)
@@ -480,21 +478,9 @@ def drift_timeline(
         .withColumn("drift", drift_score(params))
         .filter("drift > 0")
     )
-    times = scored.select("capture", "at").distinct()
-    names = [F.lit(h) for h in hosts]
-    grid = times.withColumn("src_ip", F.explode(F.array(*names)))
-    filled = (
-        grid.join(scored.select(*HOST, "at", "drift"), [*HOST, "at"], "left")
-        .withColumn("drift", F.last("drift", ignorenulls=True).over(Window.partitionBy(*HOST).orderBy("at")))
-        .withColumn("drift", F.coalesce("drift", F.lit(0.0)))
-    )
-    origin = Window.partitionBy("capture")
-    return (
-        filled.groupBy("capture", "at")
-        .pivot("src_ip", hosts)
-        .agg(F.first("drift"))
-        .withColumn("time", F.col("at") - F.min("at").over(origin))
-        .drop("at")
+    first = scored.groupBy("capture").agg(F.min("at").alias("_first"))
+    return scored.join(checked_broadcast(first), "capture").select(
+        *HOST, (F.col("at") - F.col("_first")).alias("time"), "drift"
     )
 
 

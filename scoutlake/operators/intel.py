@@ -43,7 +43,10 @@ def enrich(addresses: DataFrame, reputation: DataFrame, ip: str = "ip") -> DataF
     ones their record and class; unlisted public addresses count as clean and unknown.
     """
     one = addresses.select(F.col(ip).alias("ip")).distinct()
-    known = reputation.dropDuplicates(["ip"])
+    # Of several records of an address, the one with the worst scores, then by its other fields.
+    rest = [c for c in reputation.columns if c not in ("ip", "abuse_score", "vt_positives")]
+    worst = F.max(F.struct("abuse_score", "vt_positives", *rest)).alias("worst")
+    known = reputation.groupBy("ip").agg(worst).select("ip", "worst.*")
     joined = one.join(known, "ip", "left")
     blank = F.col("ip").isNull() | F.col("ip").isin("", "any")
     private = ~blank & private_ip("ip")
@@ -78,5 +81,6 @@ def attach_intel(rows: DataFrame, reputation: DataFrame, ip: str) -> DataFrame:
     split when one address is hot.
     """
     records = enrich(rows, reputation, ip)
-    packed = records.select(F.col("ip").alias(ip), F.struct(*records.columns).alias("intel"))
-    return rows.join(packed, ip, "left")
+    packed = records.select(F.col("ip").alias("_ip"), F.struct(*records.columns).alias("intel"))
+    # A null address has its blank record too.
+    return rows.join(packed, rows[ip].eqNullSafe(packed["_ip"]), "left").drop("_ip")

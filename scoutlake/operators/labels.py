@@ -52,10 +52,10 @@ def label_flows(features: DataFrame, scanners: DataFrame | None = None) -> DataF
 
 
 def label_from_log(table: DataFrame, log: DataFrame) -> DataFrame:
-    """Label and attack type of the capture file, from the lab log."""
-    lab = log.groupBy("pcap_filename").agg(
-        F.last("label").alias("label"), F.last("attack_type").alias("attack_type")
-    )
+    """Label and attack type of the capture file, from the lab log; of several entries for a
+    file, the one with the greatest label, then the greatest attack type."""
+    entry = F.max(F.struct("label", "attack_type")).alias("entry")
+    lab = log.groupBy("pcap_filename").agg(entry).select("pcap_filename", "entry.*")
     return table.join(checked_broadcast(lab), "pcap_filename", "left").withColumn(
         "attack_type", F.coalesce("attack_type", F.lit("unknown"))
     )

@@ -117,13 +117,14 @@ def test_low_thresholds_are_refused(spark):
         co.candidate_pairs(tokens, 0.5)
 
 
-def test_timeline_samples_and_fills(packets):
+def test_timeline_has_every_host(packets):
     rows = sorted([*steady("10.0.0.1"), *steady("10.0.0.2", dst="c")])
     p = plan.build(packets(rows), with_flows=False)
-    line = be.drift_timeline(p.events, p.base, ["10.0.0.1", "10.0.0.2"], params=Params()).orderBy("time").collect()
-    assert line[0]["time"] == 0.0 and all(r["10.0.0.1"] == r["10.0.0.2"] for r in line)
-    steps = [b["time"] - a["time"] for a, b in zip(line, line[1:], strict=False)]
-    assert set(steps) == {6.0}
+    line = be.drift_timeline(p.events, p.base, params=Params()).collect()
+    by = {h: sorted((r["time"], r["drift"]) for r in line if r["src_ip"] == h) for h in ("10.0.0.1", "10.0.0.2")}
+    assert by["10.0.0.1"] == by["10.0.0.2"] and by["10.0.0.1"][0][0] == 0.0
+    times = [t for t, _ in by["10.0.0.1"]]
+    assert {b - a for a, b in zip(times, times[1:], strict=False)} == {6.0}
 
 
 def test_empty_window_has_zero_stats(spark, packets):
