@@ -149,7 +149,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6) AS BIGINT) AS draw FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS source_size,
     ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS weight FROM d GROUP BY source),
