@@ -208,10 +208,11 @@ def attach_hosts(flows: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def feature_table(
-    packets: DataFrame, flows: DataFrame, wide: bool = False, params: Params = DEFAULT
+    packets: DataFrame, flows: DataFrame, wide: bool = False, params: Params = DEFAULT, segmented: bool = False
 ) -> DataFrame:
-    """The 20-column (or 34-column) feature table with flow identity and facts."""
+    """The 20-column (or 34-column) feature table with flow identity and facts. With
+    ``segmented`` flows are cut by a timeout, and only packets inside of them count."""
     floor = params.rate_floor_34 if wide else params.rate_floor_20
-    hosts = host_profiles(packets, flows, [params.host_window_s], floor)
+    hosts = host_profiles(packets, flows, [params.host_window_s], floor, segmented=segmented)
     names = FEATURES_34 if wide else FEATURES_20
     return attach_hosts(flows, hosts).select(*FLOW_IDS, *FLOW_FACTS, *names)

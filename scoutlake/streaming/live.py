@@ -19,7 +19,7 @@ from scoutlake.operators.detect import drift_adjusted, score_by_rules
 from scoutlake.operators.flows import KEY, assemble_flows, at_least, with_flow_key
 from scoutlake.operators.hosts import feature_table
 from scoutlake.params import DEFAULT, Params
-from scoutlake.session import new_folder, stage
+from scoutlake.session import new_folder, small_table, stage
 from scoutlake.streaming.queries import each_batch
 
 
@@ -44,14 +44,16 @@ class LiveDetector:
             return
         flows = assemble_flows(packets, timeout_s=p.flow_timeout_s, chunk_rows=p.chunk_rows)
         flows = stage(flows, "live-flows")
-        as_of = flows.agg(F.max("end_s")).first()[0]
-        active = flows.filter(F.col("end_s") >= F.lit(as_of - p.flow_timeout_s))
+        # Captures have clocks of their own.
+        latest = flows.groupBy("capture").agg(F.max("end_s").alias("_as_of"))
+        active = flows.join(small_table(latest), "capture").filter(F.col("end_s") >= F.col("_as_of") - p.flow_timeout_s)
+        active = active.drop("_as_of")
 
         span = active.select(*KEY, F.col("start_s").alias("_from"), F.col("end_s").alias("_to"))
         still = with_flow_key(packets).join(span, KEY).filter(F.col("ts_s").between(F.col("_from"), F.col("_to")))
         still.select(*new.columns).write.mode("overwrite").parquet(self._table("packets", batch))
 
-        scored = score_by_rules(at_least(feature_table(packets, active, params=p), p.min_packets_alert))
+        scored = score_by_rules(at_least(feature_table(packets, active, params=p, segmented=True), p.min_packets_alert))
         if self.drift is None:
             scored = scored.withColumn("drift_score", F.lit(0.0))
         else:

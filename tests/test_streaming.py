@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scoutlake.operators import behavior as be
 from scoutlake.operators.alerts import cool_down
 from scoutlake.operators.flows import assemble_flows
+from scoutlake.operators.hosts import feature_table
 from scoutlake.plans import behavior as plan
 from scoutlake.session import new_folder, stage
 from scoutlake.sources import replay
@@ -29,10 +30,9 @@ def pieces(spark):
 
 def test_closed_flows(spark, pieces):
     packets = read_packets(spark, SF)
-    closed = queries.drain(sf.closed_flows(pieces(packets, "ts_s")), "closed")
-    last = packets.agg(F.max("ts_s")).first()[0]
+    closed = queries.drain_whole(pieces(packets, "ts_s"), sf.closed_flows, "closed")
     names = ["flow_id", "packets", "bytes", "syn", "ack", "start_s", "end_s", "fwd_packets"]
-    want = assemble_flows(packets, timeout_s=60.0).filter(F.col("end_s") + 60 <= last - 10)
+    want = assemble_flows(packets, timeout_s=60.0)
     assert closed.count() > 100
     assert closed.select(names).exceptAll(want.select(names)).count() == 0
     assert want.select(names).exceptAll(closed.select(names)).count() == 0
@@ -41,7 +41,9 @@ def test_closed_flows(spark, pieces):
 def test_cool_down(spark, pieces):
     rows = stage(assemble_flows(read_packets(spark, SF), timeout_s=60.0), "alerts").select("src_ip", "end_s", "first_id")
     with queries.rocksdb_state(spark):
-        got = queries.drain(state.cool_down_stream(pieces(rows, "end_s"), ["src_ip"], "end_s", "first_id"), "passed")
+        got = queries.drain_whole(
+            pieces(rows, "end_s"), lambda r: state.cool_down_stream(r, ["src_ip"], "end_s", "first_id"), "passed", "end_s"
+        )
     want = cool_down(rows, ["src_ip"], "end_s", "first_id")
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
 
@@ -50,13 +52,57 @@ def test_profiles(spark, pieces):
     p = plan.build(read_packets(spark, SF))
     events = p.events.withColumns({c: F.col(c).cast("bigint") for c in ["bytes_len", "dst_port"]})
     with queries.rocksdb_state(spark):
-        got = queries.drain(state.profile_stream(pieces(events, "ts_s")), "profiles")
+        got = queries.drain_whole(pieces(events, "ts_s"), state.profile_stream, "profiles")
     want = be.snapshots(p.events, p.ticks, p.base).withColumnRenamed("timestamp", "tick")
     names = ["src_ip", "samples", "destination_diversity", "port_diversity", *[F.round(c, 6).alias(c) for c in ["tick", "packet_rate", "drift_score"]]]
     assert got.count() == want.count() > 50
     assert got.select(names).exceptAll(want.select(names)).count() == 0
 
 
+def out_of_order(spark, times, schema, row):
+    """One file per time, in the given order of arrival."""
+    path = new_folder(spark, "late")
+    for i, t in enumerate(times):
+        spark.createDataFrame([row(i, float(t))], schema).coalesce(1).write.mode("append").parquet(path)
+    return replay.packet_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+
+
+def test_cool_down_out_of_order(spark):
+    times = [100, 40, 130, 10, 400, 390, 5]  # 5 comes later than the delay allows
+    stream = out_of_order(spark, times, "src_ip string, end_s double, first_id bigint", lambda i, t: ("a", t, i))
+    with queries.rocksdb_state(spark):
+        got = queries.drain_whole(
+            stream, lambda r: state.cool_down_stream(r, ["src_ip"], "end_s", "first_id", 60.0, "200 seconds"), "late", "end_s"
+        )
+    assert sorted(r["end_s"] for r in got.collect()) == [10.0, 100.0, 390.0]
+
+
+def test_profiles_out_of_order(spark):
+    times = [*range(0, 421, 70), 300, 490]
+    schema = "capture string, src_ip string, pkt_id bigint, " + state.EVENT.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    stream = out_of_order(spark, times, schema, lambda i, t: ("c", "h", i, t, 10, "TCP", "d", 80, "s", 0.0))
+    with queries.rocksdb_state(spark):
+        got = queries.drain_whole(stream, lambda r: state.profile_stream(r, delay="200 seconds"), "late")
+    rates = {r["tick"]: r["packet_rate"] for r in got.collect()}
+    # The late event lies between two ticks and belongs to the second of them.
+    assert rates[490.0] == pytest.approx(2 / 70) and rates[350.0] == pytest.approx(3 / 70)
+
+
+def test_live_evaluation_per_capture_and_segment(spark, packets):
+    old = packets(syn_scan(n=25), capture="old")
+    new = packets([(t + 1000.0, *rest) for t, *rest in syn_scan(n=25)], capture="new")
+    detector = live.LiveDetector(spark, new_folder(spark, "live"))
+    detector(old.unionByName(new), 0)
+    fields = "capture string, source_ip string, severity string, threat_confidence double"
+    both = {r["capture"]: r["count"] for r in detector.alerts(fields).groupBy("capture").count().collect()}
+    assert both["old"] == both["new"] > 0
+
+    pairs = packets([(t, "10.0.0.1", 4000, "10.0.0.2", 80, 6, 20, "S") for t in (0.0, 1.0, 100.0, 101.0)])
+    cut = assemble_flows(pairs, timeout_s=60.0).filter("segment = 1")
+    row = feature_table(pairs, cut, wide=True, segmented=True).first()
+    assert row["host_interval_var"] == 0.0
+
+
 def test_live_detection_raises_the_scan_and_survives_a_rerun(spark, packets):
     quiet = [(0.1 * i, "10.0.0.9", 4000, "10.0.0.2", 80, 6, 20, "SA") for i in range(5)]
     table = packets(sorted([*syn_scan(n=25), *quiet]))
