@@ -18,12 +18,13 @@ from scoutlake.schemas import FEATURES_20
 from scoutlake.session import new_folder, stage
 from scoutlake.sources.events_view import read_packets
 
-SMALL = {
-    "random_forest": {"trees": 20, "depth": 8},
-    "xgboost": {"depth": 5, "rate": 0.1, "rounds": 10},
-    "svm": {"C": 1.0, "iterations": 15},
+# One setting of each declared grid.
+DECLARED = {
+    "random_forest": {"trees": 100, "depth": 15},
+    "xgboost": {"depth": 5, "rate": 0.1, "rounds": 100},
+    "svm": {"C": 1.0, "iterations": 100},
     "isolation_forest": {"contamination": 0.1, "trees": 100},
-    "mlp": {"hidden": 16, "iterations": 50},
+    "mlp": {"hidden": 100, "iterations": 200},
 }
 
 
@@ -58,7 +59,7 @@ def m1(spark, sf):
 def _model_query(name):
     def run(spark, sf):
         split = dataset(spark, sf)
-        best = mo.tune(name, part(split, "train"), part(split, "val"), 42, grid=[SMALL[name]])
+        best = mo.tune(name, part(split, "train"), part(split, "val"), 42, grid=[DECLARED[name]])
         scored = best.score(part(split, "test")).withColumn("model", F.lit(name))
         return rounded(me.evaluate(scored.select("model", "label", "prediction", "score"), ["model"]))
 
@@ -72,8 +73,7 @@ for _id, _name in [("m2", "random_forest"), ("m3", "xgboost"), ("m4", "svm"), ("
 @query("m7_grid_search")
 def m7(spark, sf):
     split = dataset(spark, sf)
-    grid = [{"trees": t, "depth": d} for t in (5, 20) for d in (3, 8)]
-    best = mo.tune("random_forest", part(split, "train"), part(split, "val"), 42, grid=grid)
+    best = mo.tune("random_forest", part(split, "train"), part(split, "val"), 42)
     scored = best.score(part(split, "test")).withColumn("setting", F.lit(str(best.params)))
     return rounded(me.evaluate(scored.select("setting", "label", "prediction", "score"), ["setting"]))
 
@@ -87,7 +87,7 @@ def m8(spark, sf):
 
 @query("m9_training_grid")
 def m9(spark, sf):
-    grids = {k: [v] for k, v in SMALL.items()}
+    grids = {k: [v] for k, v in DECLARED.items()}
     predictions, _ = mo.train_grid(dataset(spark, sf), ["random_forest", "svm"], [42, 7, 13], grids=grids)
     return rounded(me.evaluate(predictions, st.RUN))
 
@@ -95,21 +95,21 @@ def m9(spark, sf):
 @query("m10_feature_importances")
 def m10(spark, sf):
     split = dataset(spark, sf)
-    forest = mo.fit_one("random_forest", SMALL["random_forest"], part(split, "train"), FEATURES_20, 42)
+    forest = mo.fit_one("random_forest", DECLARED["random_forest"], part(split, "train"), FEATURES_20, 42)
     return rounded(mo.importances(spark, forest))
 
 
 @query("m11_ablation")
 def m11(spark, sf):
     split = dataset(spark, sf)
-    out = mo.ablation(part(split, "train"), part(split, "test"), "random_forest", 42, {"trees": 5, "depth": 5})
+    out = mo.ablation(part(split, "train"), part(split, "test"), "random_forest", 42, DECLARED["random_forest"])
     return rounded(out)
 
 
 @query("m11_both_directions")
 def m11_directions(spark, sf):
     split = dataset(spark, sf)
-    models = {"random_forest": {"trees": 5, "depth": 5}, "svm": SMALL["svm"]}
+    models = {k: DECLARED[k] for k in ("random_forest", "svm")}
     even, odd = split.filter("row_id % 2 = 0"), split.filter("row_id % 2 = 1")
     return rounded(mo.both_directions(even, odd, ("A", "B"), models, 42))
 
@@ -120,7 +120,7 @@ def m12(spark, sf):
     from scoutlake.operators.prep import map_ton_iot
 
     split = dataset(spark, sf)
-    forest = mo.fit_one("random_forest", SMALL["random_forest"], part(split, "train"), FEATURES_20, 42)
+    forest = mo.fit_one("random_forest", DECLARED["random_forest"], part(split, "train"), FEATURES_20, 42)
     third = map_ton_iot(derived(spark, sf, TON_RAW)).withColumn("model", F.lit("random_forest"))
     return rounded(me.evaluate(forest.score(third).select("model", "label", "prediction", "score"), ["model"]))
 
@@ -128,7 +128,7 @@ def m12(spark, sf):
 @query("m13_duplicate_sensitivity")
 def m13(spark, sf):
     split = dataset(spark, sf)
-    forest = mo.fit_one("random_forest", SMALL["random_forest"], part(split, "train"), FEATURES_20, 42)
+    forest = mo.fit_one("random_forest", DECLARED["random_forest"], part(split, "train"), FEATURES_20, 42)
     return rounded(mo.duplicate_sensitivity(forest, part(split, "test"), [1, 2, 5, 10, None]))
 
 
@@ -146,7 +146,7 @@ def m14(spark, sf):
 @query("m15_save_and_load")
 def m15(spark, sf):
     split = dataset(spark, sf)
-    fitted = mo.fit_one("svm", SMALL["svm"], part(split, "train"), FEATURES_20, 42)
+    fitted = mo.fit_one("svm", DECLARED["svm"], part(split, "train"), FEATURES_20, 42)
     path = new_folder(spark, "model")
     mo.save(fitted, spark, path)
     again = mo.load(spark, path, fitted)
@@ -161,14 +161,14 @@ def m15(spark, sf):
 )
 def c2(spark, sf):
     split = dataset(spark, sf)
-    forest = mo.fit_one("random_forest", SMALL["random_forest"], part(split, "train"), FEATURES_20, 42)
+    forest = mo.fit_one("random_forest", DECLARED["random_forest"], part(split, "train"), FEATURES_20, 42)
     return rounded(forest.score(split).select("row_id", "label", "prediction", "score"))
 
 
 @query("e21_attributions")
 def e21(spark, sf):
     split = dataset(spark, sf)
-    forest = mo.fit_one("random_forest", {"trees": 5, "depth": 5}, part(split, "train"), FEATURES_20, 42)
+    forest = mo.fit_one("random_forest", DECLARED["random_forest"], part(split, "train"), FEATURES_20, 42)
     test = part(split, "test").select("row_id", *FEATURES_20)
     sample = sp.random_rows(test, 100, "row_id")
     values = at.shapley(sample, test, FEATURES_20, "row_id", forest.score)

@@ -8,6 +8,7 @@ captures should be rotated below that.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -86,10 +87,20 @@ def cut_records(data: bytes) -> Iterator[tuple[float, int, bytes]]:
     return iter(())
 
 
+def file_key(root: str) -> Column:
+    """Path of a file below ``root``, so that equal names in different folders stay apart;
+    the name where ``root`` is the file itself, the whole path where it is a pattern."""
+    plain = re.sub(r"^[a-z][a-z0-9+.-]*:/+", "/", root).rstrip("/")
+    at = F.locate(plain + "/", F.col("path"))
+    below = F.substr(F.col("path"), at + len(plain) + 1)
+    name = F.element_at(F.split("path", "/"), -1)
+    return F.when(at > 0, below).when(F.endswith(F.col("path"), F.lit(plain)), name).otherwise(F.col("path"))
+
+
 def read_frames(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
     """(capture, pkt_id, ts_s, linktype, frame) of all capture files under ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("capture"), "content")
+    named = files.select(file_key(path).alias("capture"), "content")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -223,12 +234,12 @@ def capture_metadata(packets: DataFrame, files: DataFrame | None = None) -> Data
 def capture_files(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
     """(capture, length) without reading the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("capture"), "length")
+    return files.select(file_key(path).alias("capture"), "length")
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    return files.select(file_key(path).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def leading_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -237,7 +248,7 @@ def leading_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     head = F.decode(F.substring("content", 1, 20), "ISO-8859-1")
     page = F.lower(F.ltrim(head)).rlike("^<(!doctype|html)")
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
+        file_key(path).alias("file"),
         head.alias("first_20_bytes"),
         F.when(page, "CORRUPTED_HTML_DOWNLOAD").otherwise("OK").alias("status"),
     )

@@ -95,6 +95,17 @@ def test_raw_ip_and_truncated_tail(spark, tmp_path):
     assert [tuple(r)[3:] for r in rows] == [("1.2.3.4", "5.6.7.8", 9, 10, 6, 20, "A")]
 
 
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.pcap").write_bytes(pcap(FRAMES))
+    rows = ca.read_captures(spark, f"{tmp_path}/*")
+    assert rows.select("capture").distinct().count() == 2
+    assert rows.count() == rows.select("capture", "pkt_id").distinct().count() > 0
+    one = ca.read_captures(spark, f"{tmp_path}/a/x.pcap").select("capture").distinct().collect()
+    assert [r["capture"] for r in one] == ["x.pcap"]
+
+
 def test_metadata_hash_and_leading_bytes(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(pcap(FRAMES))
     (tmp_path / "empty.pcap").write_bytes(pcap([]))
