@@ -3,16 +3,19 @@
 Each document becomes a vector of transformed statistics. In every group of language and
 source the minimum-covariance-determinant estimate is sought: the ``SHARE`` of rows whose
 covariance has the least determinant, by concentration steps (take the rows nearest to the
-estimate, estimate again) from two starts over all rows. A document is rejected where its
-Mahalanobis distance from that estimate is above the limit. All steps are aggregates by
+estimate, estimate again) from two starts over all rows, made consistent for the share that
+it rests on. A document is rejected where its Mahalanobis distance from that estimate is
+above the limit. All steps are aggregates by
 group over the staged vectors: no group is ever collected, whatever its size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.llm.words import SPACE, Slice, arrow_map, mixed, slices, span_hashes
@@ -24,9 +27,12 @@ LIMIT = 20.515  # squared distance: the 0.999 quantile of chi-square in 5 dimens
 LEAST_ROWS = 30  # smaller groups are judged as part of all rows of their language, then of all
 BINS_PER_E = 32  # of the logarithm of the squared distance
 VECTOR = ("log_words", "log_width", "symbols", "dup_lines", "repeats")
-# Least standard deviation of each, so that a statistic that hardly varies rejects nobody
-# for a single character.
-FLOOR = (0.6, 0.08, 0.6, 1.5, 1.2)
+# Added in quadrature to every deviation so that covariances can be inverted.
+FLOOR = (0.01,) * 5
+# Least standard deviation in the estimate itself, for statistics that hardly vary in a group:
+# a twentieth of the words, a fiftieth of the width, two symbols per 100 characters, two
+# repeated lines, or one repeated window in a text of 50 words reject nobody by themselves.
+LEAST = (0.05, 0.02, 0.25, 0.25, 0.6)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -129,7 +135,7 @@ def _vector(df: DataFrame) -> DataFrame:
 
 
 def _moments(df: DataFrame) -> DataFrame:
-    """Per group: number, means, and the inverse and determinant of the floored covariance."""
+    """Per group: number, means, and the inverse and determinant of the covariance."""
     p = len(VECTOR)
     sums = [F.avg(c).alias(f"m{i}") for i, c in enumerate(VECTOR)]
     cross = [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
@@ -193,10 +199,49 @@ def _median_start(df: DataFrame) -> DataFrame:
     joined = joined.join(small_table(apart), "grp")
     near = F.lit(True)
     for i, c in enumerate(VECTOR):
-        near = near & (F.abs(F.col(c) - F.col(f"q{i}")) <= 3 * F.col(f"a{i}") + FLOOR[i])
+        near = near & (F.abs(F.col(c) - F.col(f"q{i}")) <= 3 * F.col(f"a{i}") + LEAST[i])
     return _moments(joined.where(near).select("grp", *VECTOR))
 
 
+def _chi_square(x: float, p: int) -> float:
+    """Probability of at most ``x`` in ``p`` dimensions."""
+    got = math.erf(math.sqrt(x / 2)) if p % 2 else -math.expm1(-x / 2)
+    for k in range(2 - p % 2, p, 2):
+        got -= math.exp(k / 2 * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + 1)) if x else 0.0
+    return got
+
+
+def consistency(share: float, p: int) -> float:
+    """What the covariance of the nearest ``share`` of normal rows is too small by."""
+    if not p or share >= 1:
+        return 1.0
+    low, high = 0.0, 200.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi_square(mid, p) < share else (low, mid)
+    return share / _chi_square(high, p + 2)
+
+
+def _consistent(best: DataFrame) -> DataFrame:
+    """``best`` with the inverse of the covariance scaled by ``consistency`` over the statistics
+    that vary, and with the least deviations where one does not."""
+    p = len(VECTOR)
+
+    def scale(frame):
+        for batch in frame:
+            inv = []
+            for got, rows, total in zip(*(batch.column(n).to_pylist() for n in ("inv", "rows", "total")), strict=True):
+                c = np.linalg.inv(np.array(got).reshape(p, p))
+                c *= consistency(rows / total, int((c.diagonal() > np.square(LEAST)).sum()))
+                c[range(p), range(p)] += np.maximum(np.square(LEAST) - c.diagonal(), 0)
+                inv.append(np.linalg.inv(c).reshape(-1).tolist())
+            names = ["grp", "rows", "mean", "inv", "logdet"]
+            columns = {n: batch.column(n) for n in names} | {"inv": pa.array(inv, pa.list_(pa.float64()))}
+            yield pa.record_batch([columns[n] for n in names], names=names)
+
+    return best.mapInArrow(scale, "grp string, rows long, mean array<double>, inv array<double>, logdet double")
+
+
 def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """(grp, rows, mean, inv, logdet): the better of two concentrated estimates per group."""
     ends = []
@@ -207,7 +252,25 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
         ends.append(now)
     both = ends[0].unionByName(ends[1])
     best = F.min_by(F.struct("rows", "mean", "inv", "logdet"), F.struct("logdet", "rows")).alias("e")
-    return both.groupBy("grp").agg(best).select("grp", "e.*")
+    totals = vectors.groupBy("grp").agg(F.count("*").alias("total"))
+    return _consistent(both.groupBy("grp").agg(best).select("grp", "e.*").join(small_table(totals), "grp"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(own, grp, fits) per language and source of ``rows``: whose estimate judges a group, and
+    which estimates it shapes."""
+    sizes = rows.groupBy("own", "wide").count()
+    of_lang = Window.partitionBy("wide")
+    least = F.lit(LEAST_ROWS)
+    grp = (
+        F.when(F.col("count") >= least, F.col("own"))
+        .when(F.sum("count").over(of_lang) >= least, F.col("wide"))
+        .otherwise("all")
+    )
+    told = stage(sizes.withColumn("grp", grp), "groups")
+    serving = told.select(F.col("grp").alias("fit")).distinct()
+    fits = told.select("own", F.explode(F.array("own", "wide", F.lit("all"))).alias("fit")).join(small_table(serving), "fit")
+    return told.select("own", "grp").join(fits.groupBy("own").agg(F.collect_set("fit").alias("fits")), "own")
 
 
 def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -217,21 +280,20 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     A text fails the base rules with fewer than 50 words or more than half of its words in
     repeated three-word windows; null and empty texts do. Failed rows shape no estimate and
     have a null distance. A null language or source is a group of its own; a group of fewer
-    than ``LEAST_ROWS`` rows is judged with all rows of the table that are in such groups.
-    Repeated rows count each. Other columns are ignored.
+    than ``LEAST_ROWS`` rows is judged by the estimate over all rows of its language, and where
+    these are too few, over all rows. Repeated rows count each. Other columns are ignored.
     """
     base = stage(
         statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))),
         "statistics",
     )
-    name = F.to_json(F.struct("lang", "source"))
-    named = base.withColumn("own", name)
-    sizes = named.where("not base_failed").groupBy("own").count()
-    grp = F.when(F.col("count") >= LEAST_ROWS, F.col("own")).otherwise(F.lit("rest")).alias("grp")
-    groups = sizes.select("own", grp)
-    fit = _vector(named.where("not base_failed")).join(small_table(groups), "own")
+    named = base.where("not base_failed").withColumns(
+        {"own": F.to_json(F.struct("lang", "source")), "wide": F.concat(F.lit("lang "), F.to_json(F.struct("lang")))}
+    )
+    groups = stage(_groups(named), "levels")
+    fit = _vector(named).join(small_table(groups.select("own", "fits")), "own").withColumn("grp", F.explode("fits"))
     vectors = stage(fit.select("grp", *VECTOR), "vectors")
-    told = _distance(_vector(named.where("not base_failed")).join(small_table(groups), "own"), estimates(vectors))
+    told = _distance(_vector(named).join(small_table(groups.select("own", "grp")), "own"), estimates(vectors))
     out = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     passed = told.select(*out, F.sqrt("d2").alias("distance"), (F.col("d2") <= limit).alias("kept"))
     failed = base.where("base_failed").select(*out, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))

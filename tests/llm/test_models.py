@@ -97,6 +97,32 @@ def test_outliers_found_by_group(spark):
     assert got[got.doc_id < 1000].kept.mean() > 0.98 and not got[got.doc_id >= 1000].kept.any()
 
 
+def test_outlier_in_each_single_statistic(spark):
+    rng = np.random.default_rng(6)
+    spread = {"log_words": (5.6, 0.5), "log_width": (1.6, 0.1), "symbols": (0, 0), "dup_lines": (0, 0), "repeats": (0.2, 0.5)}
+    rows = [("g", *(abs(rng.normal(*spread[c])) if c in spread else 0.0 for c in outliers.VECTOR)) for _ in range(800)]
+    plain = [spread[c][0] for c in outliers.VECTOR]
+    far = {"log_words": 9.5, "log_width": 2.3, "symbols": 2.0, "dup_lines": 2.4, "repeats": 3.9}
+    odd = [("g", *(far[c] if c == one else x for c, x in zip(outliers.VECTOR, plain, strict=True))) for one in outliers.VECTOR]
+    schema = "grp string, " + ", ".join(f"{c} double" for c in outliers.VECTOR)
+    frame = spark.createDataFrame([tuple(map(lambda v: v if isinstance(v, str) else float(v), r)) for r in rows + odd], schema)
+    estimate = outliers.estimates(frame)
+    apart = [r.d2 for r in outliers._distance(spark.createDataFrame(frame.tail(5), schema), estimate).collect()]
+    assert all(d > outliers.LIMIT for d in apart), apart
+    assert outliers._distance(frame, estimate).where(f"d2 <= {outliers.LIMIT}").count() > 780
+    assert np.isclose(outliers.consistency(0.75, 2), 0.75 / 0.40342640972002736)  # chi-square of 4 at 2 ln 4
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    rng = np.random.default_rng(7)
+    text = lambda n, wide: " ".join("w" * wide + str(x) for x in rng.integers(10**5, 10**6, n))
+    rows = [(k, text(int(rng.integers(80, 200)), 1), "en", "a") for k in range(60)]
+    rows += [(100 + k, text(int(rng.integers(80, 200)), 9), "fr", f"s{k % 20}") for k in range(60)]
+    rows += [(200, text(120, 9), "en", "z"), (201, text(120, 9), "fr", "z"), (202, text(120, 1), "en", "z")]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()}
+    assert (got[200].kept, got[201].kept, got[202].kept) == (False, True, True)
+
+
 def test_determinant_estimate_matches_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 3, (400, 5))
