@@ -2,8 +2,9 @@
 
 A page becomes a tree of blocks. Each paragraph gives points for its length and commas to
 its parent and, halved, to its grandparent; a container's points are discounted by the
-share of its text that stands in links. The best container is the article, with siblings
-that score near it. What never belongs to an article (menus, headers, footers, sidebars,
+share of its text that stands in links. From the best container the text grows upwards to
+its article element, or to the page where there is none, by what stands beside it and is
+prose, at every level. What never belongs to an article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) is left out by element, role
 or class before scoring.
 """
@@ -49,12 +50,17 @@ BOILERPLATE = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!?[\w/?!][^\s>/]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|$)", re.S)
+# As in HTML, "<" begins a tag only before a letter or "/", and quotes hold only attribute values.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|</?[A-Za-z](?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
+)
 NAME = re.compile(r"</?\s*([A-Za-z][\w:-]*)")
 ATTRIBUTE = re.compile(r"(?<=[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
 WHITE = re.compile(r"\s+")
 NEAR = 0.2  # share of the best score from which a sibling is kept
 LINKED = 0.5  # a sibling with more of its text in links is not
+PROSE = 80  # characters of paragraphs outside of links that make any sibling prose
+FLOW = frozenset("blockquote ul ol table dl figure".split())  # stand between paragraphs of one text
 
 
 @dataclass
@@ -67,6 +73,7 @@ class Node:
     chars: int = 0  # of text, also below
     linked: int = 0  # of these, in links
     commas: int = 0  # here and in inline children
+    prose: int = 0  # characters outside of links in paragraphs, also below
 
 
 def _skipped(name: str, tag: str) -> bool:
@@ -89,10 +96,8 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are taken as browsers would, roughly."""
     root = Node("html", None)
     now, at = root, 0
-    for found in TOKEN.finditer(page):
+    while found := TOKEN.search(page, at):
         tag = found.group()
-        if found.start() < at:  # inside a script and the like
-            continue
         if found.start() > at:
             now.children.append(page[at : found.start()])
         at = found.end()
@@ -152,7 +157,12 @@ def _score(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
-        if node.name in PARAGRAPH and node.chars - node.linked >= 10 or node.name not in INLINE and own >= 25:
+        plain = node.chars - node.linked
+        if (node.name in PARAGRAPH or node.name not in INLINE and own >= 25) and node.linked < 0.25 * node.chars:
+            node.prose = max(node.prose, plain)
+        if node.parent is not None:
+            node.parent.prose += node.prose
+        if node.name in PARAGRAPH and plain >= 10 or node.name not in INLINE and own >= 25:
             points = 1 + node.commas + min(node.chars / 100, 3) + node.chars / 1000
             points *= 1 - node.linked / max(node.chars, 1)
             holder = node if node.name not in PARAGRAPH else node.parent
@@ -209,21 +219,57 @@ def main_text(page: str | None) -> str:
     best = max(scored, key=lambda n: (n.points, n.name in ("article", "main")))
     if best.parent is None:
         return "\n".join(_blocks([best]))
-    limit = NEAR * best.points
-    kept: list = []
-    for sibling in best.parent.children:
-        if sibling is best:
-            kept.append(sibling)
-        elif isinstance(sibling, Node) and not sibling.skip and sibling.chars:
-            links = sibling.linked / sibling.chars
-            near = sibling.points >= limit and links < LINKED
-            prose = sibling.name in PARAGRAPH and sibling.chars >= 80 and links < 0.25
-            title = sibling.name in ("h1", "h2", "h3") and links < LINKED
-            if near or prose or title:
-                kept.append(sibling)
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    tops = [n for n in above if n.name == "article"] or [n for n in above if n.name == "main"] or above
+    top, kept = tops[-1], [best]
+    for node in above[:-1]:
+        kept = _beside(node, kept, NEAR * best.points, top)
+        if node is top:
+            break
     return "\n".join(_blocks(kept))
 
 
+def _beside(node: Node, kept: list, limit: float, top: Node) -> list:
+    """``kept``, which stands for ``node``, between the siblings of the node that belong to it:
+    all inside an article but links; elsewhere titles, prose, and what lies between prose."""
+    siblings = node.parent.children
+    inside = node is not top and top.parent is not None
+
+    def sure(x):
+        if x is node:
+            return True
+        if isinstance(x, str) or x.skip or not x.chars:
+            return False
+        links = x.linked / x.chars
+        near = x.points >= limit and links < LINKED
+        paragraph = x.name in PARAGRAPH and x.chars >= PROSE and links < 0.25
+        return near or paragraph or node is not top and x.prose >= PROSE and links < LINKED
+
+    def may(x):
+        if isinstance(x, str):
+            return bool(x.strip())
+        return not x.skip and x.linked < LINKED * x.chars
+
+    order = [k for k, x in enumerate(siblings) if sure(x)]
+    first, last, known = order[0], order[-1], set(order)
+    out = []
+    for k, x in enumerate(siblings):
+        if x is node:
+            out += [None, *kept, None]
+        elif k in known:
+            out.append(x)
+        elif may(x):
+            text = isinstance(x, str) or x.name in INLINE
+            title = not text and x.name in ("h1", "h2", "h3")
+            short = not text and (x.prose > 0 or x.name in PARAGRAPH)
+            flow = node.name in FLOW and short and x.name in PARAGRAPH
+            if inside or title or flow or first < k < last and (text or short):
+                out.append(x)
+    return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages`` (page_id, url, html).
 

@@ -204,6 +204,23 @@ def test_html_edges(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_rows_short_siblings_and_stray_signs():
+    prose = "A long sentence, with some commas, that tells a story, and goes on for a while, as stories do. "
+    row = "<div class=row><div class=col><p>%s</p></div><div class=col><p>%s</p></div></div>"
+    rows = "".join(row % (f"r{k} {prose * (k + 1)}", f"s{k} {prose}") for k in range(3)) + row % ("Short one.", "Ok.")
+    links = "<div class=list><a href=x>one link</a> <a href=y>another link</a></div>"
+    for page in (f"<body><article>{rows}{links}</article></body>", f"<body>{links}<div class=page>{rows}<p>{prose}</p></div></body>"):
+        got = extract.main_text(page).split("\n")
+        assert [x.split()[0] for x in got[:8]] == ["r0", "s0", "r1", "s1", "r2", "s2", "Short", "Ok."] and "link" not in " ".join(got)
+    quote = f"<blockquote><p>{prose * 3}</p><p>{prose * 3}</p></blockquote>"
+    for shell in ("<article>%s</article>", "<div>%s</div>"):
+        got = extract.main_text(shell % f"<p>Before.</p>{quote}<p>He said no.</p><p>After.</p>").split("\n")
+        assert (got[0], got[-2], got[-1]) == ("Before.", "He said no.", "After.")
+    assert extract.main_text("<p>I <3 this. It's fine.</p><p>para two isn't lost?</p>") == "I <3 this. It's fine.\npara two isn't lost?"
+    assert extract.main_text("<p>a < b, it's so.</p><p title='x > y'>two</p><p data=it's>three's</p>") == "a < b, it's so.\ntwo\nthree's"
+    assert extract.main_text("<script>if(a<b){x='</script><p>one</p><p>it's</p>") == "one\nit's"
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
