@@ -1,10 +1,12 @@
 """Secret scans with character Markov models, DataFrame expressions only.
 
 Known forms (assignments, access keys, long hexadecimal runs) are found by pattern. Any
-other long run of key characters is judged by two character Markov models, one of random
-strings and one of ordinary identifiers, by their log-likelihood ratio. The models are
-counted from labelled samples: random are the known forms' values in a bounded sample of
-documents and digests made by rule, ordinary are the other runs of those documents.
+other run of key characters, and what is left of one beside a known form, is judged by two
+character Markov models, one of random strings and one of ordinary identifiers, by their
+log-likelihood ratio. The models are counted from labelled samples: random are the known
+forms' values in a bounded sample of documents and digests made by rule, ordinary are the
+other runs of those documents, of any length, and identifiers made of them, but those that a
+first model calls random.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutlake.session import stage
+
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-LEAST = 20  # characters of a run to be judged
+LEAST = 8  # characters of a run to be judged; in fewer the ratio cannot tell
 RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ANY_RUN = r"[A-Za-z0-9+/_=-]{4,}"
 KINDS = ("assign", "access", "hex", "markov")
@@ -25,7 +29,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS = 4000
 DIGESTS = 2000
-SMOOTH = 0.5
+COMPOUND = 16  # one in so many words gives an identifier of each form, made by rule with the next
+SMOOTH = 0.5  # of counts of characters; pairs have as much for all, by the shares of their second
 TOTAL_RATIO = 12.0  # natural log, over the whole run
 MEAN_RATIO = 0.25  # and per character
 
@@ -40,24 +45,38 @@ def _found(text: Column, pattern: str, test: Column) -> Column:
 
 
 def _places(found: str, gaps: str, kind: int, keep: Column | None = None) -> Column:
-    """(start, kind, end) of matches, code points, from the text between them."""
+    """(start, kind, end) of matches, code points, from the text between them; of those that
+    ``keep`` marks. The others are passed without copying what is kept so far."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc, i):
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
+    items = F.sequence(F.lit(0), F.size(found) - 1)
+    if keep is None:
+        items = F.transform(items, lambda i: F.struct(i.alias("i"), F.lit(True).alias("keep")))
+    else:
+        items = F.zip_with(items, keep, lambda i, k: F.struct(i.alias("i"), k.alias("keep")))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(F.get(gaps, x["i"]))
+        end = start + F.length(F.get(found, x["i"]))
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(found) > 0, F.aggregate(items, begin, step)["out"]).otherwise(empty)
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step)["out"]
-    if keep is not None:
-        folded = F.transform(F.filter(F.arrays_zip(folded.alias("s"), keep.alias("k")), lambda x: x["k"]), lambda x: x["s"])
-    return F.when(F.size(found) > 0, folded).otherwise(empty)
+
+def _blanked(text: Column, pattern: str, test: Column, keep: Column | None = None) -> Column:
+    """``text`` with spaces for all characters of the matches that ``keep`` marks."""
+    blank = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda x, i: F.repeat(F.lit(" "), F.length(x)) if keep is None else F.when(F.get(keep, i), F.repeat(F.lit(" "), F.length(x))).otherwise(x),
+    )
+    both = F.zip_with(F.split(text, pattern, -1), F.concat(blank, F.array(F.lit(""))), lambda g, b: F.concat(g, b))
+    return F.when(test, F.array_join(both, "")).otherwise(text)
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, text) with ``base``: spans of the known forms, by start, then kind."""
+    """``rows`` (row, text) with ``base``: spans of the known forms, by start, then kind, and
+    ``rest``: the text with spaces in their places."""
     text = F.col("text")
     assign = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     looked = rows.select(
@@ -70,7 +89,10 @@ def base_spans(rows: DataFrame) -> DataFrame:
     for k, pattern in enumerate((ASSIGN, ACCESS, HEX)):
         looked = looked.withColumn(f"g{k}", F.when(F.size(f"f{k}") > 0, F.split("text", pattern, -1)))
     spans = [_places(f"f{k}", f"g{k}", k, F.col("long") if k == 0 else None) for k in range(3)]
-    return looked.select("row", "text", F.sort_array(F.concat(*spans)).alias("base"))
+    looked = looked.withColumn("rest", _blanked(text, ASSIGN, F.size("f0") > 0, F.col("long")))
+    for k, pattern in ((1, ACCESS), (2, HEX)):
+        looked = looked.withColumn("rest", _blanked(F.col("rest"), pattern, F.size(f"f{k}") > 0))
+    return looked.select("row", "text", F.sort_array(F.concat(*spans)).alias("base"), "rest")
 
 
 def _outside(span: Column, spans: str) -> Column:
@@ -89,8 +111,14 @@ def sample_runs(docs: DataFrame) -> DataFrame:
     rest = text
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    plain = some.select(F.explode(F.regexp_extract_all(rest, F.lit(ANY_RUN), F.lit(0))).alias("run"))
-    plain = plain.where(F.length("run") < LEAST)  # longer ones are what is to be judged
+    words = some.select(F.regexp_extract_all(rest, F.lit(ANY_RUN), F.lit(0)).alias("words"))
+    after = F.slice("words", 2, F.size("words"))
+    plain = words.select(F.explode(F.zip_with("words", after, lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p"))
+    x, y, turn = F.col("p.x"), F.coalesce("p.y", "p.x"), F.pmod(F.xxhash64("p.x", "p.y"), F.lit(COMPOUND))
+    snake = F.concat_ws("_", x, y)
+    forms = (F.upper(x), F.concat(F.lower(x), F.initcap(y)), snake, F.upper(snake), F.concat_ws("/", x, y))
+    plain = plain.select(F.explode(F.array(x, *[F.when(turn == k, form) for k, form in enumerate(forms)])).alias("run"))
+    plain = plain.where("run is not null")
     made = spark.range(DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("hex"))
     made = made.select(F.explode(F.array("hex", F.base64(F.unhex("hex")))).alias("run"))
     return random.unionByName(made).select(F.lit(True).alias("random"), "run").unionByName(
@@ -105,21 +133,34 @@ def _codes(run: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Log-likelihood ratios of character pairs, row by row; the bounded table of all pairs."""
-    codes = sample_runs(docs).select("random", _codes(F.col("run")).alias("codes")).where(F.size("codes") > 1)
+    """Log-likelihood ratios of character pairs, row by row; the bounded table of all pairs.
+
+    A first model takes all other runs as ordinary; the model leaves out those that it calls
+    random, as secrets of no known form are among them."""
+    runs = stage(sample_runs(docs), "runs")
+    first = _ratios(runs)
+    return _ratios(runs.where(F.col("random") | (F.length("run") < LEAST) | ~judged(F.col("run"), first)))
+
+
+def _ratios(runs: DataFrame) -> Model:
+    codes = runs.select("random", _codes(F.col("run")).alias("codes")).where(F.size("codes") > 1)
     pairs = codes.select(
         "random", F.explode(F.arrays_zip(F.slice("codes", 1, F.size("codes") - 1), F.slice("codes", 2, F.size("codes")))).alias("p")
     ).select("random", F.col("p.0").alias("a"), F.col("p.1").alias("b"))
     n = len(ALPHABET)
-    counts = {True: [SMOOTH] * (n * n), False: [SMOOTH] * (n * n)}
+    counts = {True: [0.0] * (n * n), False: [0.0] * (n * n)}
     for r in pairs.groupBy("random", "a", "b").count().collect():
         counts[r["random"]][(r["a"] - 1) * n + r["b"] - 1] += r["count"]
-    table = []
-    for a in range(n):
-        rows = [counts[label][a * n : a * n + n] for label in (True, False)]
-        totals = [sum(x) for x in rows]
-        table += [round(math.log(x / totals[0]) - math.log(y / totals[1]), 4) for x, y in zip(*rows, strict=True)]
-    return table
+    logs = {}
+    for label, c in counts.items():
+        seconds = [SMOOTH + sum(c[b::n]) for b in range(n)]
+        shares = [x / sum(seconds) for x in seconds]
+        logs[label] = [
+            math.log((c[a * n + b] + SMOOTH * n * shares[b]) / (sum(c[a * n : a * n + n]) + SMOOTH * n))
+            for a in range(n)
+            for b in range(n)
+        ]
+    return [round(x - y, 4) for x, y in zip(logs[True], logs[False], strict=True)]
 
 
 def judged(run: Column, model: Model) -> Column:
@@ -141,18 +182,15 @@ def judged(run: Column, model: Model) -> Column:
 
 def all_spans(docs: DataFrame, model: Model) -> DataFrame:
     """(row, text, base, spans): each row of ``docs`` as a struct, its whole text (null:
-    empty), the known forms, and these with the runs that the models call random and that
-    lie outside of them."""
+    empty), the known forms, and these with the runs outside of them that the models call random."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
     based = base_spans(rows)
-    looked = based.withColumn("f3", _found(text, RUN, text.rlike(RUN)))
-    looked = looked.withColumn("g3", F.when(F.size("f3") > 0, F.split("text", RUN, -1)))
-    looked = looked.select("row", "text", "base", "f3", _places("f3", "g3", 3).alias("at"))
-    both = F.arrays_zip(F.col("f3").alias("run"), F.col("at").alias("span"))
-    more = F.transform(
-        F.filter(both, lambda x: _outside(x["span"], "base") & judged(x["run"], model)), lambda x: x["span"]
-    )
+    rest = F.col("rest")
+    looked = based.withColumn("f3", _found(rest, RUN, rest.rlike(RUN)))
+    looked = looked.withColumn("g3", F.when(F.size("f3") > 0, F.split("rest", RUN, -1)))
+    more = _places("f3", "g3", 3, F.transform("f3", lambda run: judged(run, model)))
+    looked = looked.select("row", "text", "base", more.alias("more"))
+    more = F.filter("more", lambda x: _outside(x, "base"))
     return looked.select("row", "text", "base", F.sort_array(F.concat("base", more)).alias("spans"))
 
 

@@ -174,6 +174,24 @@ def test_secrets(spark, documents, empty):
     assert secrets.scan(empty).collect() == [] and secrets.redacted(empty).collect() == []
 
 
+def test_secrets_of_short_runs_and_beside_known_forms(spark, documents):
+    rng = np.random.default_rng(8)
+    signs = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    key = lambda n: "".join(rng.choice(signs, n))
+    digest = "0123456789abcdef" * 2
+    texts = [f"here {key(n)} it is" for n in (9, 10, 12, 14, 16, 19) for _ in range(5)]
+    texts += [f"here prefix_{digest}_{key(24)} it is", "AKIA" + "Q" * 16 + "x7kd93mfq8z2vb5w", "JavaScript and MAX_BUFFER_SIZE", "token=abcdefg" * 300 + " ok"]
+    model = secrets.train(documents)
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs, model).collect()}
+    assert sum(clean[k] == "here [secret] it is" for k in range(1, 31)) >= 29
+    got = {r.doc_id: r for r in secrets.scan(docs, model).collect()}
+    kinds = [x.split(":")[0] for x in got[31].spans.split(",")]
+    assert kinds == ["hex", "markov"] and clean[31].startswith("here prefix_[secret]") and clean[31].endswith("[secret] it is")
+    assert (got[32].n_access, got[32].n_markov) == (1, 1) and clean[32] == "[secret][secret]"
+    assert clean[33] == texts[32] and got[34].n_markov == 0
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in extract.extract(pages).collect()}
