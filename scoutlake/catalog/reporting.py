@@ -128,5 +128,4 @@ def r14(spark, sf):
 
     packets = read_packets(spark, sf)
     metadata = capture_metadata(packets).first().asDict()
-    text = re.summary_document(stage(_reports(spark, sf), "reports"), metadata, "rules")
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "line int, text string")
+    return re.summary_lines(stage(_reports(spark, sf), "reports"), metadata, "rules")

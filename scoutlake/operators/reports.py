@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoutlake.functions.exprs import fixed, protocol_name, ratio0, utc_text
 from scoutlake.operators.prep import anomalous, search_packets
 from scoutlake.operators.threat import SEVERITIES
+from scoutlake.session import stage
 
 
 def totals(reports: DataFrame, kind: str = "report") -> DataFrame:
@@ -144,16 +145,18 @@ def metric_table(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame
     )
 
 
-def summary_document(reports: DataFrame, metadata: dict, model: str, sources: int = 1000) -> str:
-    """Markdown assessment. Only aggregates reach the driver; profiles are listed for
-    the ``sources`` worst hosts and the text says how many more there are."""
+def summary_lines(reports: DataFrame, metadata: dict, model: str) -> DataFrame:
+    """(line, text) of a Markdown assessment with all threat hosts, the worst first. Only
+    aggregates reach the driver; the hosts' lines are numbered by range of score."""
     hits = reports.filter(anomalous("report"))
     t = totals(reports).first()
     levels = {r["severity"]: r["reports"] for r in severity_counts(reports).collect()}
     techniques = technique_counts(hits).orderBy("technique").collect()
-    profiles = scanner_summary(hits)
-    worst = profiles.orderBy(F.col("max_score").desc(), "src_ip").limit(sources).collect()
-    hosts = profiles.count()
+    ordered = scanner_summary(hits).orderBy(F.col("max_score").desc(), "src_ip")
+    profiles = stage(ordered.withColumn("at", F.monotonically_increasing_id()), "profiles")
+    part = F.shiftright("at", 33).alias("part")
+    parts = profiles.groupBy(part).count().orderBy("part").collect()  # a row per task of the sort
+    hosts = sum(r["count"] for r in parts)
     lines = [
         "# Capture forensic report",
         f"**Classifier:** {model.upper()}",
@@ -172,14 +175,35 @@ def summary_document(reports: DataFrame, metadata: dict, model: str, sources: in
         "",
         "## Hosts",
     ]
-    for r in worst:
-        lines += [
-            f"### `{r['src_ip']}`",
-            f"- **Category:** `{r['category']}`",
-            f"- **Anomalous flows:** `{r['total_probes']}`",
-            f"- **Worst score:** `{r['max_score']:.1f}`",
-            f"- **Target ports:** `{r['port_count']}`, first `{list(r['first_ports'])}`",
-        ]
-    if hosts > len(worst):
-        lines.append(f"and {hosts - len(worst)} more hosts in the scanner table")
-    return "\n".join(lines) + "\n"
+    spark = reports.sparkSession
+    before, first = [], len(lines)
+    for r in parts:
+        before.append((r["part"], first))
+        first += 5 * r["count"]
+
+    def told(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"- **{label}:** `"), F.coalesce(value.cast("string"), F.lit("None")), F.lit("`"))
+
+    ports = F.concat(F.lit("["), F.array_join("first_ports", ", "), F.lit("]`"))
+    texts = F.array(
+        F.concat(F.lit("### `"), F.coalesce("src_ip", F.lit("None")), F.lit("`")),
+        told("Category", F.col("category")),
+        told("Anomalous flows", F.col("total_probes")),
+        told("Worst score", fixed(F.col("max_score"), 1)),
+        F.concat(told("Target ports", F.col("port_count")), F.lit(", first `"), ports),
+    )
+    offsets = F.broadcast(spark.createDataFrame(before, "part long, first long"))
+    place = F.col("first") + 5 * F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    of_hosts = (
+        profiles.withColumn("part", part)
+        .join(offsets, "part")
+        .select(place.alias("first"), F.posexplode(texts).alias("k", "text"))
+        .select((F.col("first") + F.col("k")).alias("line"), "text")
+    )
+    return spark.createDataFrame(list(enumerate(lines)), "line long, text string").unionByName(of_hosts)
+
+
+def summary_document(reports: DataFrame, metadata: dict, model: str) -> str:
+    """``summary_lines`` as one text on the driver, for captures whose hosts fit there."""
+    lines = summary_lines(reports, metadata, model).orderBy("line").collect()
+    return "\n".join(r["text"] for r in lines) + "\n"

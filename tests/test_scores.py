@@ -138,6 +138,19 @@ def test_summary_document(spark):
     assert "`1 (100.0%)`" in text and "### `10.0.0.1`" in text and "- **HIGH:** `1`" in text
 
 
+def test_summary_lists_all_hosts(spark):
+    one = th.threat_reports(row(spark, **THREAT, src_ip="10.0.0.1", dst_port=22, first_id=1))
+    name = F.concat(F.lit("10.0."), F.expr("id div 250"), F.lit("."), F.expr("id % 250"))
+    many = one.crossJoin(spark.range(1200)).withColumn("src_ip", name).withColumn("threat_score", F.expr("50 + id % 7 * 0.5"))
+    text = re.summary_document(many.drop("id"), {"file": "a.pcap"}, "rules").splitlines()
+    hosts = [x[5:-1] for x in text if x.startswith("### ")]
+    want = sorted((-(50 + k % 7 * 0.5), f"10.0.{k // 250}.{k % 250}") for k in range(1200))
+    assert hosts == [x for _, x in want] and "- **Threat hosts:** `1200`" in text
+    assert text[-2:] == ["- **Worst score:** `50.0`", "- **Target ports:** `1`, first `[22]`"]
+    lines = re.summary_lines(many.drop("id"), {"file": "a.pcap"}, "rules")
+    assert sorted(r["line"] for r in lines.collect()) == list(range(len(text)))
+
+
 def test_missing_features_become_zero(spark):
     got = pr.with_missing(row(spark, flow_bytes=3.0), "lab").first()
     assert got["flow_bytes"] == 3.0 and sum(got[f] for f in FEATURES_20) == 3.0 and got["dataset_source"] == "lab"
