@@ -193,11 +193,7 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     spare = copies.select("doc_id").distinct().join(members.where("doc_id = cls"), "doc_id", "left_anti")
     alone = docs.where("doc_id is not null").join(checked_broadcast(spare, BROADCAST_IDS), "doc_id", "left_anti")
     prefixes = stage(prefix_table(alone, size, percent, heavy), "prefixes")
-    leads = prefixes.groupBy("grp").agg(F.min("doc_id").alias("lead"))
-    groups = stage(
-        prefixes.select("doc_id", "grp", "n", "rare").join(leads, "grp").select("doc_id", "lead", "n", "rare").distinct(),
-        "groups",
-    )
+    groups = _groups(prefixes)
     edges = copies.select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
     found = _components(docs, prefixes.select("doc_id", "n", "bins"), groups, _postings(prefixes, groups), edges, size, percent)
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -205,26 +201,34 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     )
 
 
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """(doc_id, grp, lead, n, rare): the rows of a prefix group and its least document. A
+    repeated id may lead one group and follow in another."""
+    leads = prefixes.groupBy("grp").agg(F.min("doc_id").alias("lead"))
+    rows = prefixes.select("doc_id", "grp", "n", "rare").join(leads, "grp")
+    return stage(rows.select("doc_id", "grp", "lead", "n", "rare").distinct(), "groups")
+
+
 def _postings(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
     """(tok, lead, pos, n, rare) of groups, for shingles in the prefix of several groups.
 
     Frequent shingles are known and bounded in number, they pass at once and are dealt
     over many keys; any other list is short, so its window may see it whole.
     """
-    others = groups.where("doc_id <> lead").select("doc_id")
-    first = prefixes.join(checked_broadcast(others, BROADCAST_IDS), "doc_id", "left_anti")
+    others = groups.where("doc_id <> lead").select("doc_id", "grp")
+    first = prefixes.join(checked_broadcast(others, BROADCAST_IDS), ["doc_id", "grp"], "left_anti")
     lists = Window.partitionBy("tok", "salt").orderBy("lead")
     met = (
-        first.select(F.col("doc_id").alias("lead"), "rare", F.posexplode("prefix").alias("pos", "tok"))
+        first.select(F.col("doc_id").alias("lead"), "grp", "rare", F.posexplode("prefix").alias("pos", "tok"))
         .withColumn("often", F.col("pos") >= F.col("rare"))  # the order puts them last
         .withColumn("salt", F.when(F.col("often"), F.xxhash64("lead")).otherwise(0))
         .withColumn("after", F.lead("lead").over(lists))
         .withColumn("before", F.lag("lead").over(lists))
         .where("often or after is not null or before is not null")
-        .select("tok", "lead", "pos")
+        .select("tok", "lead", "grp", "pos")
     )
-    facts = groups.where("doc_id = lead").select("lead", "n", "rare")
-    return stage(met.join(facts, "lead"), "postings")
+    facts = groups.where("doc_id = lead").select("lead", "grp", "n", "rare")
+    return stage(met.join(facts, ["lead", "grp"]).drop("grp"), "postings")
 
 
 def _components(docs, bins, groups, met, edges, size, percent) -> DataFrame:

@@ -80,6 +80,19 @@ def test_join_edges(spark, edge, empty):
     assert ngram_join.ngram_components(empty).collect() == []
 
 
+def test_follower_in_one_group_still_leads_another(spark):
+    rows = [(3, 40, 1, 9, [11, 12]), (5, 40, 1, 9, [11, 12]), (5, 50, 2, 9, [21, 22]), (9, 50, 2, 9, [21, 22]), (7, 50, 3, 9, [22, 23])]
+    prefixes = spark.createDataFrame(rows, "doc_id long, n long, grp long, rare long, prefix array<long>")
+    got = ngram_join._postings(prefixes, ngram_join._groups(prefixes))
+    assert sorted((r.tok, r.lead, r.pos, r.n) for r in got.collect()) == [(22, 5, 1, 50), (22, 7, 0, 50)]
+
+
+def test_repeated_ids_with_different_texts_match_brute_force(spark):
+    rows = [(d % 60 if d % 3 else d, t, *rest) for d, t, *rest in near_copies(90, 5) if d is not None]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
