@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from scoutlake.llm import decontam, extract, hmm, langid, mixing, ngram_join, outliers, secrets, toxicity, urls
+from scoutlake.llm import decontam, extract, hmm, langid, mixing, ngram_join, outliers, secrets, toxicity, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,11 +57,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hmm_scores, op2_robust_outliers, op3_source_mixing, op4_decontamination, op5_url_vocabulary,
         op6_secret_scan, op7_html_extraction, op8_language_id, op9_toxicity, op10_ngram_join,
+        op11_spelling_variants,
     )
 } | {"pipeline": corpus_pipeline.run}
 
