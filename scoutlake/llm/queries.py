@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from scoutlake.llm import decontam, extract, hmm, langid, mixing, ngram_join, outliers, secrets, toxicity, urls, variants
+from scoutlake.llm import collocations, decontam, extract, hmm, langid, mixing, ngram_join, outliers, secrets, toxicity, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,12 +61,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hmm_scores, op2_robust_outliers, op3_source_mixing, op4_decontamination, op5_url_vocabulary,
         op6_secret_scan, op7_html_extraction, op8_language_id, op9_toxicity, op10_ngram_join,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_phrase_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -74,6 +78,7 @@ ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.SQL,
     "op4_decontamination": decontam.SQL,
     "op5_url_vocabulary": urls.SQL,
+    "op12_phrase_collocations": collocations.SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
