@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import background, syn_scan
+from traffic import background, syn_scan
 from pyspark.sql import functions as F
 
 from scoutlake.operators.flows import assemble_flows

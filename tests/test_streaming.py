@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF, syn_scan
+from traffic import SF, syn_scan
 from pyspark.sql import functions as F
 
 from scoutlake.operators import behavior as be
