@@ -231,10 +231,12 @@ def frequent_phrases(docs: DataFrame, least: int, proposals: DataFrame | None =
 
 
 def mined(docs: DataFrame, least: int = MIN_COUNT, share: float = SHARE, most: int = WORDS) -> DataFrame:
-    """Frequent phrases as ``frequent_phrases`` gives them, proposed by a sample of ``share``."""
-    told = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = stage(told.where(chance < share), "sample")
+    """Frequent phrases as ``frequent_phrases`` gives them, proposed by a sample of ``share``. Rows
+    are drawn by id and text, so copies of a text are drawn one by one."""
+    lang, text = F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
+    told = docs.select(lang, text)
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = stage(docs.where(chance < share).select(lang, text), "sample")
     lowered = max(2, int(least * share * EASE))
     proposals = stage(frequent_phrases(sample, lowered, most=most).where("k > 0").select("lang", "phrase"), "proposals")
     return frequent_phrases(told, least, proposals, most)
@@ -282,7 +284,7 @@ def ranked(candidates: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, share: float = SHARE) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score) of the collocations of ``docs`` (text, lang).
+    """(lang, rank, phrase, a, l, r, n, score) of the collocations of ``docs`` (doc_id, text, lang).
 
     Texts are split at stops, then at spaces and tabs; A-Z are lower-cased. Null texts are
     empty, a null lang is ``und``, repeated rows count each, other columns are ignored; an

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from scoutlake.llm import collocations, decontam, extract, hmm, langid, mixing, ngram_join, outliers, secrets, toxicity, urls, variants
+from scoutlake.llm import collocations, decontam, extract, hmm, langid, mixing, ngram_join, outliers, rules, secrets, toxicity, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +65,16 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hmm_scores, op2_robust_outliers, op3_source_mixing, op4_decontamination, op5_url_vocabulary,
         op6_secret_scan, op7_html_extraction, op8_language_id, op9_toxicity, op10_ngram_join,
-        op11_spelling_variants, op12_phrase_collocations,
+        op11_spelling_variants, op12_phrase_collocations, op13_quality_rules,
     )
 } | {"pipeline": corpus_pipeline.run}
 

@@ -13,6 +13,13 @@ from scoutlake.llm import collocations
 A_TO_Z = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def numbered(rows):
+    return [(k // 2, *r) for k, r in enumerate(rows)]
+
+
 def counts_by_hand(rows):
     f, n = defaultdict(Counter), Counter()
     for text, lang in rows:
@@ -66,7 +73,7 @@ def made(seed, docs=300):
 def test_by_brute_force_whatever_the_sample(spark, share):
     """A poor sample (or none) costs passes, never phrases."""
     rows = made(2)
-    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), 8, 40, share)
+    got = collocations.collocations(spark.createDataFrame(numbered(rows), SCHEMA), 8, 40, share)
     want = by_hand(rows, 8, 40)
     assert len({len(r[2].split()) for r in want}) >= 3
     assert sorted(tuple(r) for r in got.collect()) == want
@@ -89,7 +96,7 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     """With a tiny filter nearly everything passes and is counted exactly."""
     monkeypatch.setattr(collocations, "FILTER_BITS", 6)
     rows = made(5, 120)
-    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), 5, 30)
+    got = collocations.collocations(spark.createDataFrame(numbered(rows), SCHEMA), 5, 30)
     assert sorted(tuple(r) for r in got.collect()) == by_hand(rows, 5, 30)
 
 

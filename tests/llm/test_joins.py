@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import CLASH, SCHEMA, SF, rows_of
+from texts import CLASH, SCHEMA, SF, rows_of
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 import compare  # noqa: E402

@@ -12,7 +12,9 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
-from conftest import CLASH, SCHEMA, SF, rows_of
+from texts import CLASH, SCHEMA, SF, rows_of
+
+from pyspark.sql import functions as F
 
 from scoutlake.llm import decontam, extract, hmm, langid, ngram_join, outliers, secrets, toxicity
 
@@ -68,6 +70,28 @@ def test_language_model(spark, documents):
     assert got.score[got.held_out].sum() > got.base_score[got.held_out].sum()
 
 
+def test_language_model_with_few_known_tokens(spark, monkeypatch):
+    """The end token keeps its count when many tokens are more frequent."""
+    rows = [(k, " ".join(f"w{k}x{i % 40}" for i in range(80))) for k in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in hmm.score_documents(docs, F.lit(False), 1).collect()}
+    monkeypatch.setattr(hmm, "KNOWN", 30)
+    few = {r.doc_id: r for r in hmm.score_documents(docs, F.lit(False), 1).collect()}
+    total, distinct = 5 * 81, 5 * 40 + 1
+    scale = math.log10(total + 0.1 * (distinct + 1))
+    want = 80 * (math.log10(2.1) - scale) + math.log10(5.1) - scale
+    for doc, r in few.items():
+        assert (r.n_tokens, r.n_known) == (81, 81) and math.isclose(r.base_score, want, rel_tol=1e-9)
+        assert math.isclose(r.base_score, whole[doc].base_score, rel_tol=1e-9) and math.isfinite(r.score)
+
+
+def test_cut_texts_start_once():
+    """A text of several segments counts one start."""
+    model = (np.array([0.5, 0.5]), np.full((2, 2), 0.5), np.full((3, 2), 1 / 3))
+    starts, *_ = hmm.expected_counts(model, [np.zeros(3 * hmm.SEGMENT, "<u2").tobytes(), np.zeros(4, "<u2").tobytes()], 3)
+    assert np.isclose(starts.sum(), 2)
+
+
 def test_language_model_edges(edge, empty):
     got = hmm.score_documents(edge, rounds=1).collect()
     assert len(got) == 13 and all(math.isfinite(r.score) and r.score < 0 for r in got)
