@@ -13,6 +13,7 @@ sum to one over all texts that the vocabulary and one unknown token per class ca
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ class Vocabulary:
     def __init__(self, h: np.ndarray, c: np.ndarray):
         by_hash = np.argsort(h)
         self.lookup = Lookup(h[by_hash])
-        rank = np.arange(len(h))  # h comes by falling count
+        rank = np.arange(len(h))  # the end first, then by falling count
         own = np.where(rank < SYMBOLS, rank, -1)
         self.count = np.append(c[by_hash], 0)
         self.symbol = np.append(own[by_hash], -1)
@@ -186,15 +187,17 @@ def expected_counts(model, symbols: list[bytes], size: int):
     """Baum-Welch counts of some texts: starts, moves, emissions, log10 likelihood.
 
     Texts are cut into segments, each a sequence of its own, so that few steps serve many
-    texts at once; scores are of whole texts, never of segments.
+    texts at once; only a text's first segment counts as a start. Scores are of whole texts,
+    never of segments.
     """
+    begins = np.array([a == 0 for s in symbols for a in range(0, len(s), 2 * SEGMENT)])  # only these tell starts
     symbols = [s[a : a + 2 * SEGMENT] for s in symbols for a in range(0, len(s), 2 * SEGMENT)]
     model = tuple(x.astype(np.float32) for x in model)  # counts need no more digits
     start, move, emit = model
     k = len(start)
     starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, size)), 0.0
     room = (np.empty((0, k), np.float32), np.empty(0, np.float32))
-    for _, packed, active, steps in _chunks(symbols):
+    for rows, packed, active, steps in _chunks(symbols):
         if len(packed) > len(room[1]):
             room = (np.empty((len(packed), k), np.float32), np.empty(len(packed), np.float32))
         alphas, scales = room
@@ -212,7 +215,7 @@ def expected_counts(model, symbols: list[bytes], size: int):
             back *= emit[packed[a:b]]
             back /= scales[a:b, None]
             ahead = back
-        starts += alphas[: active[0]].sum(0, dtype=np.float64)
+        starts += alphas[: active[0]][begins[rows]].sum(0, dtype=np.float64)
         for a in range(0, len(packed), 1 << 16):
             seen, weights = packed[a : a + (1 << 16)], np.ascontiguousarray(alphas[a : min(a + (1 << 16), len(packed))].T)
             for s in range(k):
@@ -282,7 +285,9 @@ def score_documents(docs: DataFrame, held_out=None, rounds: int = ROUNDS) -> Dat
     counts = token_counts(docs)
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole["n"], whole["v"]
-    top = frequent(counts, "c", KNOWN).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    end = F.col("h") == int(END.view(np.int64))
+    top = frequent(counts.where(~end), "c", KNOWN).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    top = pd.concat([counts.where(end).toPandas(), top], ignore_index=True)  # the end always has its count and symbol
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     vocabulary = Vocabulary(h, top["c"].to_numpy(np.int64))
     own = top.head(SYMBOLS)
