@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from scoutlake.llm.subwords import Bags, Softmax, class_sample, subwords, trained, word_sums
+from scoutlake.llm.samples import labelled_sample
+from scoutlake.llm.subwords import Bags, Softmax, subwords, trained, word_sums
 from scoutlake.llm.words import Slice, arrow_map, crc_bucket, slices
 
 SAMPLE = 600  # texts per label
@@ -55,7 +56,8 @@ def _within(sums, counts, offsets) -> np.ndarray:
 
 
 def fit(batch: pa.RecordBatch) -> dict:
-    """Model from a table of (text, toxic 0 or 1)."""
+    """Model from a table of (text, toxic 0 or 1), in an order of its own."""
+    batch = batch.take(pc.sort_indices(pa.table(batch), [(batch.schema.names[0], "ascending"), (batch.schema.names[1], "ascending")]))
     labels = batch.column(1).to_numpy()
     parts = list(slices(batch))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.offsets) for p in parts]))])
@@ -160,15 +162,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame
     ``labels`` has (doc_id, toxic). ``learn`` is a condition on doc_id for the rows whose
     labels teach, by default crc32 of doc_id as text modulo 5 is not 0 (a null doc_id
     counts as empty text). Null texts are empty; an empty text has the score of a worst
-    window of 0, like one of unknown subwords only. Null labels are passed over; repeated
-    rows are scored each, and repeated labels teach each. Without a label of either kind
-    every score is the same, below 0.5. Other columns are ignored.
+    window of 0, like one of unknown subwords only, which lies above that of texts known to
+    be clean. Null labels and labels of null ids are passed over; repeated rows are scored
+    each, and teach once. Without a label of either kind every score is the same, below
+    0.5. Other columns are ignored.
     """
     learn = learn if learn is not None else crc_bucket("doc_id", 5) != 0
-    told = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).where("toxic in (0, 1)")
-    rows = docs.select("doc_id", "text").where(learn).where("text is not null").join(told, "doc_id")
-    sample, classes = class_sample(rows, "toxic", SAMPLE)
-    model = trained(sample.select("text", "toxic"), fit) if len(classes) == 2 else {}
+    sample, shares = labelled_sample(docs, labels, "toxic", learn, SAMPLE)
+    model = trained(sample, fit) if len(shares) == 2 else {}
     model = model or {"table": np.zeros(1 << BITS, np.float32), "line": np.array([1.0, -4.0])}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
