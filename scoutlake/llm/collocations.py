@@ -4,8 +4,9 @@ Frequent phrases are mined as Toivonen does. A sample of the documents proposes
 that are frequent there at a lowered limit. One full pass then counts the proposals and their
 negative border exactly: any phrase whose first and last words but one are both proposed, and
 every single word. Frequent phrases of the border that were not proposed are failures; they
-join the proposals, and a further full pass counts what their extensions need, until no
-failure is left. Then every frequent phrase has been counted, whatever the sample was.
+join the proposals, and a further full pass counts all that their extensions need, however
+long. Then every frequent phrase has been counted, whatever the sample was: its two parts
+are frequent, so they were proposed or join, or that pass reaches and extends them.
 
 The proposals reach the tasks as a filter of fixed size: bits at hashes of the phrases. What
 passes it by chance is counted too and drops out by its count, so no result depends on it.
@@ -30,6 +31,7 @@ TOP = 2000  # phrases reported per language
 KEEP_PERCENT = 100  # a phrase goes if a longer one has this share of its count
 SHARE = 0.125  # of the documents in the sample
 EASE = 0.5  # the sample's limit, as a share of the limit scaled to it
+PART = 1 << 21  # bytes of text counted at once
 FILTER_BITS = 25  # log2 of the bits of the filter, which is all that is broadcast
 NO_LANG = "und"
 
@@ -137,6 +139,19 @@ class Pieces:
         return pa.StringArray.from_buffers(len(first), pa.py_buffer(edges), pa.py_buffer(out[stay]))
 
 
+def _small_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, Slice]]:
+    """(first row, slice) of a batch with about ``PART`` bytes of text each, so that the numbers
+    held per word stay few; a longer text is one slice."""
+    texts = batch.column(1)
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    row = 0
+    while row < len(texts):
+        to = max(int(np.searchsorted(edges, edges[row] + PART, "right")) - 1, row + 1)
+        for part in slices(batch.slice(row, to - row)):
+            yield row + part.row, part
+        row = to
+
+
 def _distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place, number, count) of values below ``bound``, numbered by their order."""
     if bound > 4 * len(values) + 1024:
@@ -150,61 +165,66 @@ def _distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, n
     return place[used], number[values], count[used]
 
 
-def counted_phrases(pieces: Pieces, lang: np.ndarray, lang_hash: np.ndarray, now: Filter, before: Filter | None, most: int):
-    """(k, first word of each, counts): the phrases of a slice that a pass counts.
+def counted_phrases(pieces: Pieces, lang: np.ndarray, lang_hash: np.ndarray, filters: list[Filter], eager: bool, most: int):
+    """(k, first word of each, counts): the phrases of a slice that the pass of the last filter counts.
 
-    ``lang`` has a number per text, ``lang_hash`` a hash for each number. A phrase is reached
-    under a filter if it is a word, or if its parts without the last and without the first
-    word are both reached and held; those that were reached under ``before`` are passed over.
+    ``lang`` has a number per text, ``lang_hash`` a hash for each number. Single words are
+    reached by the first pass. A phrase is reached by a pass if its parts without the last
+    and without the first word both lead on there: they are reached by then and its filter
+    holds them, or (``eager``) the last pass itself is the first to reach them.
     """
     if not len(pieces):
         return
     coded = pieces.words.dictionary_encode()
-    word = coded.indices.to_numpy().astype(np.int64)
-    hashes = span_hashes(pieces.data, pieces.starts, pieces.ends)
+    word, hashes = coded.indices.to_numpy(), _text_hashes(coded.dictionary)
     first, number, count = _distinct(lang[pieces.text] * len(coded.dictionary) + word, len(lang_hash) * len(coded.dictionary))
-    if before is None:
+    last = len(filters) - 1
+    if last == 0:
         yield 1, first, count
     single, singles = number, len(first)
-    h = _started(hashes[first], lang_hash[lang[pieces.text[first]]])
+    h = _started(hashes[word[first]], lang_hash[lang[pieces.text[first]]])
+    new = np.zeros(len(first), bool)  # phrases that only the last of several passes reaches
     at = np.arange(len(pieces))  # places of the phrases reached, in order
-    old = np.ones(len(pieces), bool)  # reached before
     for k in range(2, most + 1):
-        held = now.holds(h)[number]
-        known = before.holds(h)[number] & old if before is not None else np.zeros(len(at), bool)
-        follows = np.flatnonzero(held[:-1] & held[1:] & (at[1:] == at[:-1] + 1) & pieces.joined[at[:-1] + k - 2]) if len(at) else at
+        leads = np.zeros(len(h), np.int8)  # a bit per pass
+        for j, f in enumerate(filters):
+            leads |= (f.holds(h) & (~new if j < last else True)).astype(np.int8) << np.int8(j)
+        if eager:
+            leads |= new.astype(np.int8) << np.int8(last)
+        both = leads[number[:-1]] & leads[number[1:]]
+        follows = np.flatnonzero((both > 0) & (at[1:] == at[:-1] + 1) & pieces.joined[np.minimum(at[:-1] + k - 2, len(pieces) - 2)])
         if not len(follows):
             return
-        old = known[follows] & known[follows + 1]
-        prefix, place = number[follows], at[follows]
+        both, prefix, place = both[follows], number[follows], at[follows]
         some, number, count = _distinct(prefix * singles + single[place + k - 1], int(prefix.max() + 1) * singles)
-        h = _extended(h[prefix[some]], hashes[place[some] + k - 1])
-        new = ~old[some]
-        yield k, place[some][new], count[new]
+        h = _extended(h[prefix[some]], hashes[word[place[some] + k - 1]])
+        new = both[some] == 1 << last if last else np.zeros(len(some), bool)
+        use = new if last else np.ones(len(some), bool)
+        yield k, place[some][use], count[use]
         at = place
 
 
-def pass_over(docs: DataFrame, now: Filter, before: Filter | None, most: int = WORDS) -> DataFrame:
-    """Exact (lang, k, phrase, n) of all phrases that are reached under ``now`` and were not under
-    ``before``; without ``before`` also k = 0, the words of each language."""
-    shared = docs.sparkSession.sparkContext.broadcast((now.bits, before.bits if before else None))
+def pass_over(docs: DataFrame, filters: list[Filter], eager: bool = False, most: int = WORDS) -> DataFrame:
+    """Exact (lang, k, phrase, n) of all phrases that the pass of the last filter reaches and the
+    one before did not; the first pass also has k = 0, the words of each language."""
+    shared = docs.sparkSession.sparkContext.broadcast([f.bits for f in filters])
 
     def make(batch) -> Iterator[pa.RecordBatch]:
-        bits, old = shared.value
+        known = [Filter(bits) for bits in shared.value]
         coded = batch.column(0).dictionary_encode()
         code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         lang_hash = _text_hashes(names)
-        for part in slices(batch):
-            pieces, lang = Pieces(part), code[part.row : part.row + len(part)]
+        for at, part in _small_slices(batch):
+            pieces, lang = Pieces(part), code[at : at + len(part)]
 
             def rows(of, k, phrases, count):
                 kinds = pa.array(np.full(len(count), k, np.int32))
                 return pa.record_batch([names.take(pa.array(of)), kinds, phrases, pa.array(count)], names=["lang", "k", "phrase", "n"])
 
-            if old is None and len(pieces):
+            if len(known) == 1 and len(pieces):
                 total = np.bincount(lang[pieces.text], minlength=len(names))
                 yield rows(np.arange(len(names)), 0, pa.array([""] * len(names)), total)
-            for k, first, count in counted_phrases(pieces, lang, lang_hash, Filter(bits), Filter(old) if old is not None else None, most):
+            for k, first, count in counted_phrases(pieces, lang, lang_hash, known, eager, most):
                 if len(first):
                     yield rows(lang[pieces.text[first]], k, pieces.phrases(first, k), count)
 
@@ -214,20 +234,27 @@ def pass_over(docs: DataFrame, now: Filter, before: Filter | None, most: int = W
 
 def frequent_phrases(docs: DataFrame, least: int, proposals: DataFrame | None = None, most: int = WORDS) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of up to ``most`` words found ``least`` times or more,
-    and k = 0 for the words of each language; exact whatever is proposed. Without proposals
-    every pass finds the phrases one word longer."""
+    and k = 0 for the words of each language; exact whatever is proposed.
+
+    Without proposals every pass finds the phrases one word longer. With proposals, the pass
+    that follows failures is eager: a phrase it is the first to reach is extended at once,
+    without knowing its count, so that what the failures lead to is counted in that pass.
+    """
     spark = docs.sparkSession
     known = proposals if proposals is not None else spark.createDataFrame([], COUNTED).select("lang", "phrase")
-    now, before, found = filter_of(known), None, None
+    filters, eager, found = [filter_of(known)], False, None
     while True:
-        new = stage(pass_over(docs, now, before, most).where(F.col("n") >= F.when(F.col("k") == 0, 1).otherwise(least)), "phrases")
+        told = pass_over(docs, filters, eager, most)
+        new = stage(told.where(F.col("n") >= F.when(F.col("k") == 0, 1).otherwise(least)), "phrases")
         found = new if found is None else found.unionByName(new)
+        if eager:
+            return found
         extendable = new.where((F.col("k") > 0) & (F.col("k") < most)).select("lang", "phrase")
         failures = stage(extendable.join(known, ["lang", "phrase"], "left_anti"), "failures")
         if failures.isEmpty():
             return found
         known = known.unionByName(failures)
-        now, before = filter_of(known), now
+        filters, eager = [filters[-1], filter_of(known)], proposals is not None
 
 
 def mined(docs: DataFrame, least: int = MIN_COUNT, share: float = SHARE, most: int = WORDS) -> DataFrame:
