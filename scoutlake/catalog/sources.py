@@ -12,6 +12,7 @@ from scoutlake.operators import alerts as al
 from scoutlake.operators import detect as de
 from scoutlake.operators import metrics as me
 from scoutlake.operators.splits import host_split, split_statistics
+from scoutlake.catalog.frames import capture_folder, frames_from_packets
 from scoutlake.plans.analysis import reports
 from scoutlake.plans.features import features
 from scoutlake.schemas import UNSW_COLUMNS
@@ -25,10 +26,17 @@ PACKET_SQL = "src_ip, dst_ip, src_port, dst_port, proto, payload_len, flags"
 
 @query("s2_header_projection", f"SELECT pkt_id, {PACKET_SQL} FROM pkt")
 def s2(spark, sf):
-    frames = stage(ca.frames_from_packets(read_packets(spark, sf)), "frames")
+    frames = stage(frames_from_packets(read_packets(spark, sf)), "frames")
     return ca.decode_frames(frames).drop("capture", "ts_s")
 
 
+@query("s1_capture_scan", f"SELECT CAST(round(ts_s * 1000000) AS BIGINT) AS ts_us, {PACKET_SQL} FROM pkt")
+def s1(spark, sf):
+    folder = capture_folder(read_packets(spark, sf), 50_000)
+    frames = ca.read_frames(spark, folder, range_bytes=1 << 18)
+    return ca.decode_frames(frames).withColumn("ts_us", F.round(F.col("ts_s") * 1e6).cast("long")).drop("capture", "pkt_id", "ts_s")
+
+
 @query("s3_csv_scan", "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
 def s3(spark, sf):
     rows = table(spark, sf, "customer")

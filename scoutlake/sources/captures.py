@@ -1,92 +1,32 @@
 """Capture files to packet tables.
 
-A folder of pcap/pcapng files is one Spark job over the files. Python only finds the
-record boundaries; every header field is decoded by column expressions. One file is
-read by one task and may be at most 2 GB (the bound of the binary source), so
-captures should be rotated below that.
+A folder of pcap/pcapng files is read in byte ranges, so a file of any size is spread over
+many tasks (see ``ranges``). Python only finds the record boundaries; every header field
+is decoded by column expressions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutlake.functions.exprs import utc_text
+from scoutlake.params import DEFAULT
+from scoutlake.sources.ranges import RANGE_BYTES, open_bytes, planned_ranges, records_in, spread
 
 FRAMES = "capture string, pkt_id bigint, ts_s double, linktype int, frame binary"
 BATCH = 4096
+BATCH_BYTES = 8 << 20
 
-# File magics, link types.
-PCAP_MAGIC = {
-    b"\xd4\xc3\xb2\xa1": ("<", 1e-6),
-    b"\xa1\xb2\xc3\xd4": (">", 1e-6),
-    b"\x4d\x3c\xb2\xa1": ("<", 1e-9),
-    b"\xa1\xb2\x3c\x4d": (">", 1e-9),
-}
-PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
+# Link types.
 ETHERNET, NULL_LOOPBACK, RAW_IP, LINUX_SLL = 1, 0, (101, 228), 113
 
 
-def _pcap_records(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    endian, unit = PCAP_MAGIC[data[:4]]
-    linktype = struct.unpack(endian + "I", data[20:24])[0] & 0x0FFFFFFF
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, size, _ = struct.unpack(endian + "IIII", data[at : at + 16])
-        at += 16
-        if at + size > len(data):
-            return
-        yield sec + frac * unit, linktype, data[at : at + size]
-        at += size
-
-
-def _resolution(options: bytes, endian: str) -> float:
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack(endian + "HH", options[at : at + 4])
-        if code == 0:
-            break
-        if code == 9:
-            raw = options[at + 4]
-            return 2.0 ** -(raw & 0x7F) if raw & 0x80 else 10.0**-raw
-        at += 4 + size + (-size) % 4
-    return 1e-6
-
-
-def _pcapng_records(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    at, endian = 0, "<"
-    links: list[tuple[int, float]] = []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == PCAPNG_MAGIC:
-            endian = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            links = []
-        kind, size = struct.unpack(endian + "II", data[at : at + 8])
-        if size < 12 or at + size > len(data):
-            return
-        body = data[at + 8 : at + size - 4]
-        if kind == 1:
-            links.append((struct.unpack(endian + "H", body[:2])[0], _resolution(body[8:], endian)))
-        elif kind == 6 and links:
-            port, high, low, kept, _ = struct.unpack(endian + "IIIII", body[:20])
-            linktype, unit = links[port]
-            yield ((high << 32) | low) * unit, linktype, body[20 : 20 + kept]
-        at += size
-
-
-def cut_records(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    """(seconds, link type, frame) of every complete record of a capture file."""
-    if data[:4] in PCAP_MAGIC:
-        return _pcap_records(data)
-    if data[:4] == PCAPNG_MAGIC:
-        return _pcapng_records(data)
-    return iter(())
-
-
 def file_key(root: str) -> Column:
     """Path of a file below ``root``, so that equal names in different folders stay apart;
     the name where ``root`` is the file itself, the whole path where it is a pattern."""
@@ -97,24 +37,28 @@ def file_key(root: str) -> Column:
     return F.when(at > 0, below).when(F.endswith(F.col("path"), F.lit(plain)), name).otherwise(F.col("path"))
 
 
-def read_frames(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
+def read_frames(
+    spark: SparkSession, path: str, glob: str = "*.pcap*", range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """(capture, pkt_id, ts_s, linktype, frame) of all capture files under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    named = files.select(file_key(path).alias("capture"), "content")
+    plan = planned_ranges(capture_files(spark, path, glob, "path"), range_bytes)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["capture", "pkt_id", "ts_s", "linktype", "frame"]
         for pdf in batches:
-            for capture, content in zip(pdf["capture"], pdf["content"], strict=True):
-                rows = []
-                for i, (ts, linktype, frame) in enumerate(cut_records(bytes(content))):
-                    rows.append((capture, i, ts, linktype, frame))
-                    if len(rows) == BATCH:
-                        yield pd.DataFrame(rows, columns=["capture", "pkt_id", "ts_s", "linktype", "frame"])
-                        rows = []
+            for r in pdf.itertuples(index=False):
+                rows, held = [], 0
+                for i, (ts, linktype, frame) in enumerate(records_in(r.path, r.length, r.start, r.end, r.state)):
+                    if linktype is not None:
+                        rows.append((r.capture, r.first + i, ts, linktype, frame))
+                        held += len(frame)
+                    if len(rows) == BATCH or held > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["capture", "pkt_id", "ts_s", "linktype", "frame"])
+                    yield pd.DataFrame(rows, columns=names)
 
-    return named.mapInPandas(cut, FRAMES)
+    return spread(plan.where("n > 0")).mapInPandas(cut, FRAMES)
 
 
 def _number(at: Column, size: int) -> Column:
@@ -191,10 +135,15 @@ def read_captures(
     packets = decode_frames(read_frames(spark, path, glob))
     if max_packets is None:
         return packets
-    # A file is at most 2 GB, which bounds the rows ranked per capture.
-    order = Window.partitionBy("capture").orderBy("pkt_id")
-    ranked = packets.withColumn("_n", F.row_number().over(order))
-    return ranked.filter(F.col("_n") <= max_packets).drop("_n")
+    # Numbered in blocks, so no task orders a whole capture.
+    keys = ["capture", "_block"]
+    blocked = packets.withColumn("_block", F.expr(f"pkt_id div {DEFAULT.chunk_rows}"))
+    before = Window.partitionBy("capture").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocked.groupBy(*keys).agg(F.count("*").alias("_size"))
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    ranked = blocked.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("pkt_id")))
+    wanted = offsets.where(F.col("_offset") < max_packets)
+    return ranked.join(wanted, keys).where(F.col("_offset") + F.col("_n") <= max_packets).select(packets.columns)
 
 
 def capture_metadata(packets: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -231,52 +180,42 @@ def capture_metadata(packets: DataFrame, files: DataFrame | None = None) -> Data
     )
 
 
-def capture_files(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
-    """(capture, length) without reading the files."""
+def capture_files(spark: SparkSession, path: str, glob: str = "*.pcap*", *more: str) -> DataFrame:
+    """(capture, length, *more) without reading the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(file_key(path).alias("capture"), "length")
+    return files.select(file_key(path).alias("capture"), "length", *more)
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(file_key(path).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+def _of_each_file(files: DataFrame, found: str, read: Callable) -> DataFrame:
+    """``read`` (open file to a text) of each of ``files`` (file, length, path), as ``found``."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                with open_bytes(path) as file:
+                    out.append(read(file))
+            yield pd.DataFrame({"file": pdf["file"], "length": pdf["length"], found: out})
 
-def leading_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """First 20 bytes as text and whether the file is really a saved web page."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    head = F.decode(F.substring("content", 1, 20), "ISO-8859-1")
-    page = F.lower(F.ltrim(head)).rlike("^<(!doctype|html)")
-    return files.select(
-        file_key(path).alias("file"),
-        head.alias("first_20_bytes"),
-        F.when(page, "CORRUPTED_HTML_DOWNLOAD").otherwise("OK").alias("status"),
-    )
+    return files.mapInPandas(run, f"file string, length long, {found} string")
 
 
-def frames_from_packets(packets: DataFrame) -> DataFrame:
-    """Ethernet frames with the header fields of a packet table (zero payload).
+def _sha256(file) -> str:
+    digest = hashlib.sha256()
+    while part := file.read(1 << 20):
+        digest.update(part)
+    return digest.hexdigest()
 
-    The inverse of ``decode_frames``, for checking it on any packet table.
-    """
 
-    def hexed(value: Column, size: int) -> Column:
-        return F.lpad(F.hex(value.cast("bigint")), size * 2, "0")
-
-    def address(c: str) -> Column:
-        return F.concat(*[hexed(F.split(c, r"\.")[i], 1) for i in range(4)])
-
-    bits = F.lit(0)
-    for bit, letter in FLAG_BITS:
-        bits = bits + F.when(F.col("flags").contains(letter), bit).otherwise(0)
-    size = F.col("payload_len")
-    ports = F.concat(hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2))
-    tcp = F.concat(ports, F.lit("00" * 8 + "50"), hexed(bits, 1))
-    ip = F.concat(
-        F.lit("4500"), hexed(size + 20, 2), F.lit("0000000040"), hexed(F.col("proto"), 1), F.lit("0000"),
-        address("src_ip"), address("dst_ip"),
-    )
-    body = F.when(F.col("proto") == 6, tcp).when(F.col("proto") == 17, ports).otherwise(F.lit(""))
-    padded = F.rpad(body, F.greatest(size * 2, F.length(body)), "0")
-    frame = F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, padded))
-    return packets.select("capture", "pkt_id", "ts_s", F.lit(ETHERNET).alias("linktype"), frame.alias("frame"))
+def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, length, sha256); files of any size pass through a small window."""
+    files = capture_files(spark, path, glob, "path").withColumnRenamed("capture", "file")
+    return _of_each_file(files, "sha256", _sha256)
+
+
+def leading_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """First 20 bytes as text and whether the file is really a saved web page; reads no more."""
+    files = capture_files(spark, path, glob, "path").withColumnRenamed("capture", "file")
+    heads = _of_each_file(files, "first_20_bytes", lambda file: file.read(20).decode("ISO-8859-1"))
+    page = F.lower(F.ltrim("first_20_bytes")).rlike("^<(!doctype|html)")
+    return heads.select("file", "first_20_bytes", F.when(page, "CORRUPTED_HTML_DOWNLOAD").otherwise("OK").alias("status"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
+import random
 import struct
 
 import pytest
@@ -10,6 +12,7 @@ import pytest
 from scoutlake.plans.corpus import corpus_features
 from scoutlake.schemas import LAB_LOG
 from scoutlake.sources import captures as ca
+from scoutlake.sources import ranges
 
 
 def ipv4(src, dst, proto, body, total=None, frag=0, options=b""):
@@ -33,7 +36,7 @@ def ether(ip, kind=0x0800, vlan=False):
 
 
 def pcap(frames, magic=b"\xd4\xc3\xb2\xa1", link=1):
-    endian, unit = ca.PCAP_MAGIC[magic]
+    endian, unit = ranges.PCAP_MAGIC[magic]
     out = magic + struct.pack(endian + "HHiIII", 2, 4, 0, 0, 65535, link)
     for ts, f in frames:
         out += struct.pack(endian + "IIII", int(ts), round((ts % 1) / unit), len(f), len(f)) + f
@@ -132,3 +135,67 @@ def test_corpus_is_labelled_by_file(spark, tmp_path):
     got = {(r["pcap_filename"], r["label"], r["attack_type"], r["dataset"]) for r in table.collect()}
     assert got == {("scan.pcap", 1, "SYN Scan", "lab"), ("other.pcap", None, "unknown", "lab")}
     assert table.filter("pcap_filename = 'scan.pcap'").first()["host_port_entropy"] == pytest.approx(3.321928, abs=1e-6)
+
+
+def rows_of(spark, folder, range_bytes):
+    frames = ca.read_frames(spark, str(folder), range_bytes=range_bytes)
+    return sorted((r.capture, r.pkt_id, r.ts_s, r.linktype, bytes(r.frame)) for r in frames.collect()), frames
+
+
+def many(n, seed=0):
+    rng = random.Random(seed)
+    return [(1000 + i * 0.25, ether(ipv4("10.0.0.1", "8.8.8.8", 17, udp(i, 53, rng.randbytes(rng.randrange(900)))))) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["pcap", "pcapng"])
+def test_a_file_in_ranges_gives_the_same_rows(spark, tmp_path, kind):
+    """Also where a packet holds a whole capture, and a record is longer than a range."""
+    inner = {"pcap": pcap, "pcapng": pcapng}[kind](many(60, 1))
+    inner += b"\0" * (-len(inner) % 4)
+    frames = many(200)
+    frames[70] = (frames[70][0], ether(inner[24 if kind == "pcap" else 28 :]))
+    frames[120] = (frames[120][0], ether(b"z" * 20_000))
+    data = {"pcap": pcap, "pcapng": pcapng}[kind](frames)
+    (tmp_path / "a.pcap").write_bytes(data)
+    (tmp_path / "b.pcap").write_bytes(data[:-7])
+    (tmp_path / "c.pcap").write_bytes(data[:24])
+    (tmp_path / "d.pcap").write_bytes(b"")
+    (tmp_path / "e.pcap").write_bytes(b"no capture at all")
+    whole, _ = rows_of(spark, tmp_path, 1 << 30)
+    assert [r[4] for r in whole if r[0] == "a.pcap"] == [f for _, f in frames]
+    assert [r[1] for r in whole if r[0] == "a.pcap"] == list(range(200)) and sum(r[0] == "b.pcap" for r in whole) == 199
+    for size in (len(data) // 8 + 1, 4096, 1000):
+        cut, frame = rows_of(spark, tmp_path, size)
+        assert cut == whole
+        assert frame.rdd.getNumPartitions() > 1
+
+
+def test_sections_and_interfaces_inside_a_file(spark, tmp_path):
+    """Each section brings its own interfaces; ranges after them use the right ones."""
+    first, second = pcapng(many(50)), pcapng(many(50, 3)).replace(struct.pack("<IIHHI", 1, 20, 1, 0, 65535), struct.pack("<IIHHI", 1, 20, 101, 0, 65535))
+    (tmp_path / "a.pcapng").write_bytes(first + second)
+    cut, _ = rows_of(spark, tmp_path, 3000)
+    assert [r[3] for r in cut] == [1] * 50 + [101] * 50 and [r[1] for r in cut] == list(range(100))
+
+
+def test_a_file_above_two_gigabytes(spark, tmp_path):
+    """Sparse: 150 frames of 15 MB, an address in each."""
+    size = 15 << 20
+    with open(tmp_path / "big.pcap", "wb") as out:
+        out.write(pcap([]))
+        for i in range(150):
+            head = ether(ipv4("10.0.0.1", f"10.0.1.{i}", 17, udp(i, 53), total=1000))
+            out.write(struct.pack("<IIII", 1000 + i, 0, size, size) + head)
+            out.seek(size - len(head), 1)
+        out.truncate(out.tell())
+    assert (tmp_path / "big.pcap").stat().st_size > 2**31
+    packets = ca.read_captures(spark, str(tmp_path))
+    got = packets.orderBy("pkt_id").select("pkt_id", "dst_ip", "payload_len").collect()
+    assert [tuple(r) for r in got] == [(i, f"10.0.1.{i}", 980) for i in range(150)]
+
+
+def test_first_packets_of_each_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pcap").write_bytes(pcap(FRAMES * 5))
+    monkeypatch.setattr(ca, "DEFAULT", dataclasses.replace(ca.DEFAULT, chunk_rows=4))
+    few = ca.read_captures(spark, str(tmp_path), max_packets=9).orderBy("pkt_id").collect()
+    assert [r["pkt_id"] for r in few] == [i for i in range(35) if i % 7 != 2][:9]
