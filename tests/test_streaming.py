@@ -38,6 +38,36 @@ def test_closed_flows(spark, pieces):
     assert want.select(names).exceptAll(closed.select(names)).count() == 0
 
 
+def test_tracked_flows_have_the_batch_intervals(spark, pieces, packets):
+    table = read_packets(spark, SF)
+    with queries.rocksdb_state(spark):
+        got = queries.drain_whole(pieces(table, "ts_s"), sf.tracked_flows, "tracked")
+    names = ["flow_id", "packets", "bytes", "syn", "ack", "fwd_packets", "bwd_packets", "start_s", "end_s"]
+    names += [F.round(c, 6).alias(c) for c in ("interval_mean", "interval_var", "size_var")]
+    want = assemble_flows(table, timeout_s=60.0).select(names)
+    assert got.count() == want.count() > 100
+    assert got.select(names).exceptAll(want).count() == 0
+
+    # One flow: many packets a second, silences just within and just beyond the timeout.
+    steps = [0.0, *[0.001 * k for k in range(1, 400)], 60.399, 61.0, 121.0, 181.5, 181.6, 300.0]
+    hot = packets([(t, "10.0.0.1", 4000, "10.0.0.2", 80, 6, 20 + k % 7, "A") for k, t in enumerate(steps)])
+    with queries.rocksdb_state(spark):
+        got = queries.drain_whole(pieces(hot, "ts_s", 5), sf.tracked_flows, "hot")
+    want = assemble_flows(hot, timeout_s=60.0)
+    assert got.count() == want.count() == 3
+    assert got.select(names).exceptAll(want.select(names)).count() == 0
+
+
+def test_tracked_flows_out_of_order(spark):
+    """Packets up to the delay late are put in place; numbers in order of time give the batch result."""
+    times = [100, 40, 130, 10, 400, 390]
+    schema = "capture string, pkt_id bigint, ts_s double, src_ip string, dst_ip string, src_port int, dst_port int, proto int, payload_len int, flags string"
+    stream = out_of_order(spark, times, schema, lambda i, t: ("c", int(t), t, "a", "b", 1, 2, 6, 20, "A"))
+    with queries.rocksdb_state(spark):
+        got = queries.drain_whole(stream, lambda rows: sf.tracked_flows(rows, 60.0, "200 seconds"), "late").orderBy("start_s").collect()
+    assert [(r.start_s, r.end_s, r.packets, r.interval_mean, r.interval_var) for r in got] == [(10.0, 130.0, 4, 40.0, pytest.approx(200.0)), (390.0, 400.0, 2, 10.0, 0.0)]
+
+
 def test_cool_down(spark, pieces):
     rows = stage(assemble_flows(read_packets(spark, SF), timeout_s=60.0), "alerts").select("src_ip", "end_s", "first_id")
     with queries.rocksdb_state(spark):
