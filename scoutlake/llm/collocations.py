@@ -30,8 +30,8 @@ MIN_COUNT = 100
 TOP = 2000  # phrases reported per language
 KEEP_PERCENT = 100  # a phrase goes if a longer one has this share of its count
 SHARE = 0.125  # of the documents in the sample
-EASE = 0.5  # the sample's limit, as a share of the limit scaled to it
-PART = 1 << 21  # bytes of text counted at once
+EASE = 0.9  # the sample's limit, as a share of the limit scaled to it
+PART = 1 << 20  # bytes of text counted at once
 FILTER_BITS = 25  # log2 of the bits of the filter, which is all that is broadcast
 NO_LANG = "und"
 
@@ -40,7 +40,8 @@ _GAP[[0x20, 0x09]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 
-COUNTED = "lang string, k int, phrase string, n long"
+COUNTED = "lang string, k int, phrase string, n long"  # k words
+EMITTED = "lang string, phrase string, n long"
 
 
 class Filter:
@@ -217,19 +218,19 @@ def pass_over(docs: DataFrame, filters: list[Filter], eager: bool = False, most:
         for at, part in _small_slices(batch):
             pieces, lang = Pieces(part), code[at : at + len(part)]
 
-            def rows(of, k, phrases, count):
-                kinds = pa.array(np.full(len(count), k, np.int32))
-                return pa.record_batch([names.take(pa.array(of)), kinds, phrases, pa.array(count)], names=["lang", "k", "phrase", "n"])
+            def rows(of, phrases, count):
+                return pa.record_batch([names.take(pa.array(of)), phrases, pa.array(count)], names=["lang", "phrase", "n"])
 
             if len(known) == 1 and len(pieces):
                 total = np.bincount(lang[pieces.text], minlength=len(names))
-                yield rows(np.arange(len(names)), 0, pa.array([""] * len(names)), total)
+                yield rows(np.arange(len(names)), pa.array([""] * len(names)), total)
             for k, first, count in counted_phrases(pieces, lang, lang_hash, known, eager, most):
                 if len(first):
-                    yield rows(lang[pieces.text[first]], k, pieces.phrases(first, k), count)
+                    yield rows(lang[pieces.text[first]], pieces.phrases(first, k), count)
 
-    found = arrow_map(docs.select("lang", "text"), COUNTED, make)
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    found = arrow_map(docs.select("lang", "text"), EMITTED, make).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    return found.select("lang", F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).alias("k"), "phrase", "n")
 
 
 def frequent_phrases(docs: DataFrame, least: int, proposals: DataFrame | None = None, most: int = WORDS) -> DataFrame:
