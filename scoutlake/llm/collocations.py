@@ -31,7 +31,7 @@ TOP = 2000  # phrases reported per language
 KEEP_PERCENT = 100  # a phrase goes if a longer one has this share of its count
 SHARE = 0.125  # of the documents in the sample
 EASE = 0.9  # the sample's limit, as a share of the limit scaled to it
-PART = 1 << 20  # bytes of text counted at once
+PART = 1 << 21  # bytes of text counted at once
 FILTER_BITS = 25  # log2 of the bits of the filter, which is all that is broadcast
 NO_LANG = "und"
 
@@ -227,6 +227,7 @@ def pass_over(docs: DataFrame, filters: list[Filter], eager: bool = False, most:
             for k, first, count in counted_phrases(pieces, lang, lang_hash, known, eager, most):
                 if len(first):
                     yield rows(lang[pieces.text[first]], pieces.phrases(first, k), count)
+            pa.default_memory_pool().release_unused()
 
     found = arrow_map(docs.select("lang", "text"), EMITTED, make).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
