@@ -143,9 +143,11 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The documents in the mix, all columns, with ``repeats``, the times each is taken."""
+    """The documents in the mix, all columns, with ``repeats``, the times each is taken; a
+    column of ``docs`` with that name, in any case, gives way."""
     mixed = mix(docs).where("repeats > 0")
-    return mixed.select("row.*", F.col("repeats").alias("repeats"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "repeats"]
+    return mixed.select(*kept, F.col("repeats").alias("repeats"))
 
 
 SQL = rf"""

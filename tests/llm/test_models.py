@@ -271,6 +271,25 @@ def test_language_id(spark):
     assert (apart.lang == apart.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_id_rejects_what_is_no_language_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = [
+        "Сегодня утром дети играли в саду и смеялись над старой собакой соседа, которая спала под деревом",
+        "今日は朝から天気がとても良いので、公園へ散歩に行きました。帰りに本屋へ寄った。",
+        "Aamulla lapset leikkivät puutarhassa ja nauroivat naapurin vanhalle koiralle joka nukkui puun alla",
+        "xkqz vbnrt wpldk zzxcv qwrtp lkjhg mnbvc xzqwk jfhgd pptrw kjsdf zxqwv",
+    ]
+    # Nor is a language that was left out.
+    rest = docs.where("lang <> 'es'").withColumn("held_out", F.lit(False))
+    left = docs.where("lang = 'es' and length(text) > 400").withColumn("held_out", F.lit(True))
+    more = spark.createDataFrame([(-1 - k, t, None, None, None) for k, t in enumerate(strange)], docs.schema)
+    table = rest.unionByName(left).unionByName(more.withColumn("held_out", F.lit(True)))
+    got = langid.identify(table, ~F.col("held_out")).select("row.*", "rejected").toPandas()
+    assert got[got.doc_id < 0].rejected.all()
+    assert got[got.lang == "es"].rejected.mean() > 0.9
+    assert got[(got.lang != "es") & (got.doc_id >= 0)].rejected.mean() < 0.005
+
+
 def test_language_id_edges(edge, empty):
     got = langid.predictions(edge).collect()
     assert len(got) == 13
@@ -315,7 +334,27 @@ def test_pipeline(spark, edge, tmp_path):
     ids = {r.doc_id for r in out.collect()}
     assert ids and ids <= {r.doc_id for r in kept.collect()}
     assert not ids & {r.doc_id for r in decontam.leaks(docs, bench).collect()}
-    for _, step in corpus_pipeline.STAGES[1:2]:  # null ids stay, repeated ids become one row
-        got = step(spark, edge, SF)
-        assert got.columns == edge.columns and sorted((r.doc_id for r in got.collect()), key=str).count(1) == 1
-        assert sum(r.doc_id is None for r in got.collect()) == 2
+    got = corpus_pipeline.duplicates_stage(spark, edge, SF).collect()  # null ids stay, repeated ids become one row
+    assert sorted((r.doc_id for r in got), key=str).count(1) == 1 and sum(r.doc_id is None for r in got) == 2
+
+
+def test_every_stage_on_edges_and_clashing_names(spark, edge, empty):
+    names = ("gone", "twice", "of", "component_id", "Repeats", "row", "doc", "rejected")
+    for table in (edge, empty):
+        wide = table
+        for c in names:
+            wide = wide.withColumn(c, F.lit("mine"))
+        for name, step in corpus_pipeline.STAGES:
+            out = step(spark, wide, SF)
+            rows = out.collect()
+            kept = [c for c in wide.columns if name != "source_mixing" or c != "Repeats"]
+            assert out.columns == [*kept, "repeats"] if name == "source_mixing" else out.columns == kept
+            assert len(rows) <= edge.count() and all(r["gone"] == "mine" for r in rows)
+            assert rows or table is empty or name == "language_id"
+
+
+def test_least_of_repeated_rows_stays(spark):
+    rows = rows_of([(1, "b " * 30, "en", "s"), (1, "a " * 30, "en", "s"), (1, "a " * 30, "en", "r"), (2, "other text", "en", "s")])
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.duplicates_stage(spark, spark.createDataFrame(order, SCHEMA), SF).collect()
+        assert {(r.doc_id, r.text[:1], r.source) for r in got} == {(1, "a", "r"), (2, "o", "s")}
