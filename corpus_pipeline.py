@@ -5,7 +5,9 @@
 Every stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns
 the columns of ``documents``; the last adds ``repeats``, the times a document is taken.
 Null ids are documents of their own for every stage but the duplicates', which keeps them;
-rows that repeat a doc_id are one document there, of which one row stays.
+rows that repeat a doc_id are one document there, of which the row with the least text
+(then the least as JSON; null first) stays. Columns of any name beside those of
+``documents`` pass through; one named ``repeats`` gives way to that of the last stage.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id."""
-    found = ngram_join.ngram_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
-    once = kept.join(repeated, kept["doc_id"] == F.col("twice"), "left_anti")
-    again = kept.join(repeated, kept["doc_id"] == F.col("twice"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    found = stage(ngram_join.ngram_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "duplicates")
+    judged = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("of"), F.count("*").alias("n"))
+    rows = docs.select("doc_id", F.struct("*").alias("row"))
+    once = rows.join(judged.where("doc_id <> of or n > 1"), "doc_id", "left_anti")
+    again = rows.join(judged.where("doc_id = of and n > 1"), "doc_id", "left_semi")
+    first = again.groupBy("doc_id").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row"))
+    return once.unionByName(first).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
