@@ -29,6 +29,7 @@ from scoutlake.operators.metrics import confusion, evaluate, rates
 from scoutlake.operators.prep import ABLATIONS, ablation_features, flow_only_features
 from scoutlake.operators.splits import cap_duplicates
 from scoutlake.schemas import FEATURES_20
+from scoutlake.session import new_folder
 
 
 @dataclass(frozen=True)
@@ -183,33 +184,45 @@ def tune(
     return best
 
 
+RUN_TABLE = "strategy string, model string, seed int, setting string, validation_f1 double"
+
+
 def train_grid(
-    splits: DataFrame, models: list[str], seeds: list[int], features: list[str] | None = None,
+    splits: DataFrame, models: list[str], seeds: list[int], folder: str, features: list[str] | None = None,
     grids: dict[str, list[dict[str, Any]]] | None = None, row_id: str = "row_id",
-) -> tuple[DataFrame, dict[tuple[str, str, int], Trained]]:
-    """Train every (strategy, model, seed); returns test predictions and the models.
-
-    ``splits`` has strategy, subset, features, label, row_id. The loop is over a short
-    list of runs; every run is a distributed job.
+) -> tuple[DataFrame, DataFrame]:
+    """Train every (strategy, model, seed); returns test predictions and the table of runs.
+
+    ``splits`` has strategy, subset, features, label, row_id. It is written once, parted by
+    strategy and subset in files of even size, as every run reads its part several times. Every run is a distributed job whose predictions are
+    written to a folder of their own below ``folder``; then the run is added to the table of
+    runs with its chosen setting. A grid started again on the same ``folder`` skips the runs
+    in that table and overwrites what a lost one left behind.
     """
+    spark = splits.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in splits.schema.fields}
+    path = new_folder(spark, "splits")
+    splits.hint("rebalance", "strategy", "subset").write.partitionBy("strategy", "subset").parquet(path)
+    splits = spark.read.schema(splits.schema).parquet(path)
     strategies = sorted(r[0] for r in splits.select("strategy").distinct().collect())
-    models_out: dict[tuple[str, str, int], Trained] = {}
-    predictions: DataFrame | None = None
-    for strategy in strategies:
+    spark.createDataFrame([], RUN_TABLE).write.mode("append").parquet(f"{folder}/runs")
+    runs = spark.read.schema(RUN_TABLE).parquet(f"{folder}/runs")
+    done = {(r["strategy"], r["model"], r["seed"]) for r in runs.select("strategy", "model", "seed").collect()}
+    plan = [(s, m, k) for s in strategies for m in models for k in seeds if (s, m, k) not in done]
+    for strategy, name, seed in plan:
         mine = splits.filter(F.col("strategy") == strategy)
-        train, val, test = (mine.filter(F.col("subset") == s).cache() for s in ["train", "val", "test"])
-        for name in models:
-            for seed in seeds:
-                best = tune(name, train, val, seed, features, (grids or {}).get(name), row_id)
-                models_out[(strategy, name, seed)] = best
-                scored = best.score(test).select(
-                    F.lit(strategy).alias("strategy"), F.lit(name).alias("model"), F.lit(seed).alias("seed"),
-                    row_id, "label", "prediction", "score",
-                )
-                predictions = scored if predictions is None else predictions.unionByName(scored)
-        train.unpersist()
-        val.unpersist()
-    return predictions, models_out
+        train, val, test = (mine.filter(F.col("subset") == s) for s in ("train", "val", "test"))
+        best = tune(name, train, val, seed, features, (grids or {}).get(name), row_id)
+        path = f"{folder}/predictions/strategy={strategy}/model={name}/seed={seed}"
+        best.score(test).select(row_id, "label", "prediction", "score").write.mode("overwrite").parquet(path)
+        run = [(strategy, name, seed, str(best.params), float(best.validation_f1))]
+        spark.createDataFrame(run, RUN_TABLE).coalesce(1).write.mode("append").parquet(f"{folder}/runs")
+    runs = spark.read.schema(RUN_TABLE).parquet(f"{folder}/runs")
+    schema = f"{row_id} {kinds[row_id]}, label {kinds['label']}, prediction int, score double, strategy string, model string, seed int"
+    found = spark.read.schema(schema).parquet(f"{folder}/predictions")
+    keys = ["strategy", "model", "seed"]
+    predictions = found.join(F.broadcast(runs.select(keys)), keys, "left_semi")  # a row per run
+    return predictions.select(*keys, row_id, "label", "prediction", "score"), runs
 
 
 def rule_predictions(features: DataFrame) -> DataFrame:

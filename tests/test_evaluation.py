@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scoutlake.session import new_folder
+from scoutlake.schemas import FEATURES_20
 from scoutlake.functions.pvalues import chi2_tail, signed_rank_tail
 from scoutlake.operators import attribution as at
 from scoutlake.operators import iforest
@@ -163,3 +165,31 @@ def test_attributions_add_up(spark):
     total = got.groupBy("row_id").agg(F.sum("value").alias("v")).join(score(df), "row_id")
     for r in total.collect():
         assert r["v"] == pytest.approx(r["score"] - mean)
+
+
+def test_training_grid_goes_on_where_it_stopped(spark):
+    near = [(F.col("label") + F.rand(k)).alias(c) for k, c in enumerate(FEATURES_20)]
+    rows = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"))
+    rows = rows.select("row_id", "label", *near, F.element_at(F.array(*map(F.lit, ["train", "val", "test"])), (F.col("row_id") % 3 + 1).cast("int")).alias("subset"))
+    splits = rows.withColumn("strategy", F.lit("a")).unionByName(rows.withColumn("strategy", F.lit("b")))
+    grids = {"random_forest": [{"trees": 3, "depth": d} for d in (2, 3)], "svm": [{"C": 1.0, "iterations": 5}]}
+    folder = new_folder(spark, "grid")
+    # What a lost run left behind: predictions without an entry in the table of runs.
+    lost = spark.createDataFrame([(1, 0, 0, 0.5)], "row_id long, label int, prediction int, score double")
+    for seed in (2, 9):
+        lost.write.parquet(f"{folder}/predictions/strategy=a/model=svm/seed={seed}")
+    first, runs = mo.train_grid(splits, ["random_forest", "svm"], [1], folder, grids=grids)
+    keys = ["strategy", "model", "seed"]
+    assert runs.count() == 4 and {r["count"] for r in first.groupBy(keys).count().collect()} == {200}
+
+    def written():
+        found = spark.read.parquet(f"{folder}/predictions").where("seed = 1")
+        return {r[0] for r in found.select(F.input_file_name()).distinct().collect()}
+
+    files = written()
+    again, runs = mo.train_grid(splits, ["random_forest", "svm"], [1, 2], folder, grids=grids)
+    counts = {tuple(r[k] for k in keys): r["count"] for r in again.groupBy(keys).count().collect()}
+    assert counts == {(s, m, k): 200 for s in "ab" for m in ("random_forest", "svm") for k in (1, 2)}
+    assert runs.groupBy(keys).count().where("count > 1").count() == 0 and runs.count() == 8
+    assert written() == files  # the runs that were done are not trained again
+    assert me.evaluate(again, keys).where("accuracy < 0.8").count() == 0
