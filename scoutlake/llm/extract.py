@@ -34,21 +34,30 @@ INLINE = frozenset(
 )
 PARAGRAPH = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 CONTAINER = frozenset("article main section div body td blockquote ul ol table tbody tr dl html figure".split())
-# A start tag of the left ends an open element of the right.
+# A start tag of the left ends an open element of the right, unless a border stands between.
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section "
     "table ul".split()
 )
-ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
-         "th": ("td", "th"), "option": ("option",)}
-BORDERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody"), "td": ("tr", "table"),
-           "th": ("tr", "table")}
+P_BORDERS = ("article", "div", "section", "td", "li", "blockquote")
+ALIKE = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+ENDED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "option": ("option",)}
+BORDERS = {"p": P_BORDERS, "li": ("ul", "ol", "menu"), "dt": ("dl",), "tr": ("table", "tbody"), "td": ("tr", "table"),
+           "option": ()}
+# Element name -> the kinds above for which it is ended or a border, with which of both.
+MARKS: dict[str, list[tuple[str, bool]]] = {}
+for _kind in ENDED:
+    for _names, _ended in ((ENDED[_kind], True), (BORDERS[_kind], False)):
+        for _name in _names:
+            MARKS.setdefault(_name, []).append((_kind, _ended))
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|"
+    r"(?:(?<=[\s_-])|^)(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|"
     r"nav|navbar|navigation|newsletter|notices?|popup|promo|related|replies|respond|share|sharing|sidebar|social|"
-    r"sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])",
     re.I,
 )
+# Of these, words that stand on whole articles now and then ("related-work", "post-share").
+MILD = re.compile(r"header|notices?|promo|related|share|sharing|social|widget", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # As in HTML, "<" begins a tag only before a letter or "/", and quotes hold only attribute values.
 TOKEN = re.compile(
@@ -60,6 +69,7 @@ WHITE = re.compile(r"\s+")
 NEAR = 0.2  # share of the best score from which a sibling is kept
 LINKED = 0.5  # a sibling with more of its text in links is not
 PROSE = 80  # characters of paragraphs outside of links that make any sibling prose
+ARTICLE = 400  # characters from which the text of a form or of a mild class is an article
 FLOW = frozenset("blockquote ul ol table dl figure".split())  # stand between paragraphs of one text
 
 
@@ -76,15 +86,18 @@ class Node:
     prose: int = 0  # characters outside of links in paragraphs, also below
 
 
-def _skipped(name: str, tag: str) -> bool:
+def _skipped(name: str, tag: str, lenient: bool = False) -> bool:
+    """Whether an element never belongs to an article. ``lenient`` takes forms, and classes
+    that articles are found to bear, for what they hold."""
     if name in SKIP:
-        return True
+        return not (lenient and name == "form")
     if " " not in tag and "\n" not in tag and "\t" not in tag:
         return False
     for key, value in ATTRIBUTE.findall(tag):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and BOILERPLATE.search(value):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            if any(not (lenient and MILD.fullmatch(x[0])) for x in BOILERPLATE.finditer(value)):
+                return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -92,10 +105,28 @@ def _skipped(name: str, tag: str) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are taken as browsers would, roughly."""
+def parse(page: str, lenient: bool = False) -> Node:
+    """The tree of a page; unclosed and stray tags are taken as browsers would, roughly.
+
+    Every tag costs a constant time on average: open elements are counted by name, and of
+    those that one tag may end, and their borders, the innermost is kept on a stack by kind.
+    ``lenient`` is as for ``_skipped``.
+    """
     root = Node("html", None)
     now, at = root, 0
+    opened: dict[str, int] = {}
+    marks: dict[str, list[tuple[Node, bool]]] = {kind: [] for kind in ENDED}
+
+    def leave(inner: Node, outer: Node) -> Node:
+        """Closes the elements from ``inner`` up to ``outer``; the one now open."""
+        while True:
+            opened[inner.name] -= 1
+            for kind, _ in MARKS.get(inner.name, ()):
+                marks[kind].pop()
+            if inner is outer:
+                return inner.parent
+            inner = inner.parent
+
     while found := TOKEN.search(page, at):
         tag = found.group()
         if found.start() > at:
@@ -106,39 +137,32 @@ def parse(page: str) -> Node:
             continue
         name = match.group(1).lower()
         if tag.startswith("</"):
-            node = now
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                now = node.parent
+            if opened.get(name):
+                node = now
+                while node.name != name:
+                    node = node.parent
+                now = leave(now, node)
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            now = _close(now, ("p",), ("article", "div", "section", "td", "li", "blockquote", "html"))
-        if name in ALIKE:
-            now = _close(now, ALIKE[name], BORDERS.get(name, ()))
-        node = Node(name, now, _skipped(name, tag))
+        for kind in (["p"] if name in CLOSES_P else []) + ([ALIKE[name]] if name in ALIKE else []):
+            if marks[kind] and marks[kind][-1][1]:
+                now = leave(now, marks[kind][-1][0])
+        node = Node(name, now, _skipped(name, tag, lenient))
         now.children.append(node)
         if name in RAW:  # only its own end tag counts
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else len(page)
         elif name not in VOID and not tag.endswith("/>"):
             now = node
+            opened[name] = opened.get(name, 0) + 1
+            for kind, ended in MARKS.get(name, ()):
+                marks[kind].append((node, ended))
     if at < len(page):
         now.children.append(page[at:])
     return root
 
 
-def _close(now: Node, names: tuple[str, ...], borders: tuple[str, ...]) -> Node:
-    node = now
-    while node.parent is not None and node.name not in borders:
-        if node.name in names:
-            return node.parent
-        node = node.parent
-    return now
-
-
 def _score(root: Node) -> list[Node]:
     """Points, lengths and link lengths of all nodes; the containers with points."""
     order, stack = [], [(root, False)]
@@ -178,8 +202,8 @@ def _score(root: Node) -> list[Node]:
     return scored
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks below some nodes, in page order."""
+def _blocks(nodes: list) -> list[str]:
+    """Texts of the blocks below some nodes, pieces of text and lists of both, in page order."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -196,6 +220,8 @@ def _blocks(nodes: list[Node]) -> list[str]:
             end()
         elif isinstance(item, str):
             line.append(item)
+        elif isinstance(item, list):
+            stack += reversed(item)
         elif item.name == "br":
             line.append(" ")
         elif not item.skip:
@@ -209,10 +235,21 @@ def _blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, one line each; empty where a page has none."""
+    """The article's blocks, one line each; empty where a page has none.
+
+    Prose goes before class: where all else is empty, a text of ARTICLE characters or more
+    inside a form, or below a class that only mostly names what is left out, is the article.
+    """
     if not page:
         return ""
-    root = parse(page)
+    text = _text_of(parse(page))
+    if text:
+        return text
+    text = _text_of(parse(page, lenient=True))
+    return text if len(text) >= ARTICLE else ""
+
+
+def _text_of(root: Node) -> str:
     scored = _score(root)
     if not scored:
         return "\n".join(_blocks([root])) if root.chars > root.linked else ""
@@ -257,7 +294,7 @@ def _beside(node: Node, kept: list, limit: float, top: Node) -> list:
     out = []
     for k, x in enumerate(siblings):
         if x is node:
-            out += [None, *kept, None]
+            out += [None, kept, None]
         elif k in known:
             out.append(x)
         elif may(x):

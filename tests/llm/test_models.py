@@ -7,6 +7,7 @@ import html
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -263,6 +264,36 @@ def test_html_rows_short_siblings_and_stray_signs():
     assert extract.main_text("<script>if(a<b){x='</script><p>one</p><p>it's</p>") == "one\nit's"
 
 
+def test_html_of_open_and_stray_tags_is_read_in_linear_time():
+    """A walk over all open elements a tag would take minutes on each of these pages."""
+    many = {
+        "open": "<b><p>some text" * 30000, "stray": "<div></i></span></p>x" * 30000, "nested": "<div>text of a level, long enough" * 20000,
+        "border": "<p><td>" + "<b>" * 20000 + "<hr>x" * 20000, "items": "<ul><li>" + "<b>x" * 20000 + "<li>y" * 20000,
+        "raw": "<title>" + "</title " * 60000,
+    }
+    for name, page in many.items():
+        begun = time.perf_counter()
+        extract.main_text(page)
+        assert time.perf_counter() - begun < 10, name
+
+
+def test_html_tags_end_what_is_open_inside_their_borders_only():
+    prose = "A long sentence, with some commas, that tells a story, and goes on for a while, as stories do. "
+    def names(node):
+        return [(c.name, names(c)) for c in node.children if isinstance(c, extract.Node)]
+    assert names(extract.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")) == [
+        ("ul", [("li", [("ul", [("li", []), ("li", [])])]), ("li", [])])]
+    assert names(extract.parse("<table><tr><td>a<td>b<tr><th>c</table><p>d<p>e</b></p></p>f")) == [
+        ("table", [("tr", [("td", []), ("td", [])]), ("tr", [("th", [])])]), ("p", []), ("p", [])]
+    assert names(extract.parse("<p>a<b>b<div>c<p>d</div>e")) == [("p", [("b", [])]), ("div", [("p", [])])]
+    for word in ("related-work", "post-share", "promo-text", "notice"):  # prose before class
+        assert extract.main_text(f'<div>{"<a href=x>y</a>"}<p class="{word}">{prose * 5}</p></div>') == (prose * 5).strip()
+        assert extract.main_text(f'<p class="{word}">{prose}</p>') == ""
+        assert extract.main_text(f'<article><p>{prose}</p><p class="{word}">{prose * 5}</p></article>') == prose.strip()
+    assert extract.main_text(f"<form><p>{prose * 5}</p><select><option>x</select></form>") == (prose * 5).strip()
+    assert extract.main_text(f'<div class="comments"><p class="related">{prose * 5}</p></div>') == ""
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
