@@ -146,7 +146,7 @@ def parse(page: str, lenient: bool = False) -> Node:
         if name in ("html", "body"):
             continue
         for kind in (["p"] if name in CLOSES_P else []) + ([ALIKE[name]] if name in ALIKE else []):
-            if marks[kind] and marks[kind][-1][1]:
+            while marks[kind] and marks[kind][-1][1]:
                 now = leave(now, marks[kind][-1][0])
         node = Node(name, now, _skipped(name, tag, lenient))
         now.children.append(node)
