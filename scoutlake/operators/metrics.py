@@ -2,8 +2,9 @@
 
 Predictions have key columns (for example strategy, model, seed) and ``label``,
 ``prediction``, ``score``. Everything is a group-by of counts. Ranking metrics need
-running counts over scores; those are made per score bucket with bucket offsets, so
-no task orders a whole run.
+running counts over scores; those are made per range of scores with offsets. The ranges
+are cut at quantiles of each run's distinct scores, so no task orders a whole run, however
+closely its scores stand together.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutlake.functions.exprs import logistic, ratio0
+from scoutlake.session import checked_broadcast, stage
 
-SCORE_BUCKETS = 65536
+# Cut points of a run lie in BLOCKS blocks of BLOCKS, so a score finds its range in two
+# short steps. A run of few distinct scores has fewer cuts: one for RANGE_ROWS of them.
+BLOCKS = 32
+RANGE_ROWS = 65536
 
 
 def confusion(predictions: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
@@ -44,35 +49,65 @@ def rates(cells: DataFrame) -> DataFrame:
     )
 
 
-def running_counts(predictions: DataFrame, keys: list[str]) -> DataFrame:
+def score_cuts(tied: DataFrame, keys: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(keys, cuts, ends): ascending scores that cut a run into ranges of about
+    ``range_rows`` distinct scores, or into BLOCKS * BLOCKS equal ranges where that is
+    fewer; ``ends`` is the last cut of every whole block.
+
+    ``tied`` has one row per (keys, distinct score). The quantiles are sketches of bounded
+    size; they only choose the cuts, so their error moves rows between tasks and changes
+    no count.
+    """
+    ranges = BLOCKS * BLOCKS
+    shares = [k / ranges for k in range(1, ranges)]
+    rough = tied.groupBy(*keys).agg(
+        F.percentile_approx("score", shares, 10 * ranges).alias("_all"), F.count("score").alias("_n")
+    )
+    step = F.greatest(F.lit(1), F.ceil(F.lit(float(ranges) * range_rows) / F.col("_n"))).cast("long")
+    thinned = F.filter(F.coalesce("_all", F.array().cast("array<double>")), lambda x, k: (k + 1) % step == 0)
+    cuts = rough.select(*keys, F.array_distinct(thinned).alias("cuts"))
+    return cuts.withColumn("ends", F.filter("cuts", lambda x, k: k % BLOCKS == BLOCKS - 1))
+
+
+def _range_of(score: Column) -> Column:
+    """Number of ``cuts`` below a score; 0 for null, which ranks lowest."""
+    whole = F.size(F.filter("ends", lambda x: x < score))
+    rest = F.slice("cuts", whole * BLOCKS + 1, F.lit(BLOCKS))
+    return whole * BLOCKS + F.size(F.filter(rest, lambda x: x < score))
+
+
+def running_counts(predictions: DataFrame, keys: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per (keys, distinct score): pos, neg, and the counts strictly above
-    (``pos_above``, ``neg_above``) plus totals (``pos_all``, ``neg_all``)."""
-    place = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) * SCORE_BUCKETS)
+    (``pos_above``, ``neg_above``) plus totals (``pos_all``, ``neg_all``).
+
+    The cuts are written once: both uses below, and any task that runs again, see the same.
+    """
     tied = predictions.groupBy(*keys, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    tied = tied.withColumn("_bucket", place)
-    sizes = tied.groupBy(*keys, "_bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    cuts = checked_broadcast(stage(score_cuts(tied, keys, range_rows), "score-cuts"), 2000)
+    tied = tied.join(cuts, keys).withColumn("_range", _range_of(F.col("score"))).drop("cuts", "ends")
+    sizes = tied.groupBy(*keys, "_range").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     whole = Window.partitionBy(*keys)
-    higher = whole.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    higher = whole.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys,
-        "_bucket",
+        "_range",
         F.coalesce(F.sum("bp").over(higher), F.lit(0)).alias("op"),
         F.coalesce(F.sum("bn").over(higher), F.lit(0)).alias("on"),
         F.sum("bp").over(whole).alias("pos_all"),
         F.sum("bn").over(whole).alias("neg_all"),
     )
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*keys, "_range")
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        tied.join(offsets, [*keys, "_bucket"])
+        tied.join(offsets, [*keys, "_range"])
         .withColumn("pos_above", F.col("op") + F.coalesce(F.sum("pos").over(inside), F.lit(0)))
         .withColumn("neg_above", F.col("on") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-        .drop("_bucket", "op", "on")
+        .drop("_range", "op", "on")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import pytest
@@ -48,6 +49,30 @@ def test_auc_with_ties(spark, digits):
     assert got + other == pytest.approx(1.0)
 
 
+def test_ranks_of_crowded_scores_are_cut_into_even_ranges(spark):
+    """Nine tenths of the scores stand within 1e-6 of 1; ranks stay exact, null ranks lowest."""
+    rng = random.Random(3)
+    rows = [("hot", rng.randint(0, 1), 1 - rng.random() * 1e-6 if k % 10 else rng.random()) for k in range(3000)]
+    rows += [("cold", rng.randint(0, 1), round(rng.random(), 2)) for _ in range(200)] + [("none", 1, None), ("none", 0, 0.5)]
+    df = spark.createDataFrame(rows, "k string, label int, score double")
+    tied = df.groupBy("k", "score").count()
+    cuts = {r.k: r.cuts for r in me.score_cuts(tied, ["k"], 50).collect()}
+    assert len(cuts["cold"]) <= 2 and cuts["none"] == [] and cuts["hot"] == sorted(set(cuts["hot"]))
+    scores = sorted(s for k, _, s in rows if k == "hot")
+    edges = [0, *(bisect.bisect_right(scores, c) for c in cuts["hot"]), len(scores)]
+    assert max(b - a for a, b in zip(edges, edges[1:])) <= 100
+    got = {(r.k, r.score): r for r in me.running_counts(df, ["k"], 50).collect()}
+    for run in ("hot", "cold"):
+        mine = [(y, s) for k, y, s in rows if k == run]
+        for s in {s for _, s in mine}:
+            r = got[run, s]
+            assert (r.pos, r.neg) == tuple(sum(x == s and y == want for y, x in mine) for want in (1, 0))
+            assert (r.pos_above, r.neg_above) == tuple(sum(x > s and y == want for y, x in mine) for want in (1, 0))
+            assert r.pos_all + r.neg_all == len(mine)
+    assert got["none", None].neg_above == 1 and got["none", 0.5].pos_above == 0
+    assert me.running_counts(df.limit(0), ["k"]).count() == 0
+
+
 def test_one_class_has_no_auc(spark):
     df = spark.createDataFrame([("r", 1, 0.3, 0)], "k string, label int, score double, prediction int")
     got = me.evaluate(df, ["k"]).first()
