@@ -11,7 +11,7 @@ from scoutlake.functions.chains import spaced_chain
 from scoutlake.operators import alerts as al
 from scoutlake.operators import detect as de
 from scoutlake.operators import threat as th
-from scoutlake.plans.analysis import incident_table, reports
+from scoutlake.plans.analysis import anchored_reports, incident_records, incident_table, reports
 from scoutlake.plans.features import features, staged_flows
 from scoutlake.session import stage
 from scoutlake.sources.events_view import read_packets
@@ -299,6 +299,39 @@ def t12(spark, sf):
     )
 
 
+INCIDENT_TEXTS = f""", evidences AS ({T10_SQL}),
+texts AS (SELECT a.src_ip, a.dst_ip, a.scan_category, a.node AS start_epoch, a.flow_id,
+    unnest(string_split(evidences.evidence, '|')) AS evidence FROM anchored a JOIN evidences USING (flow_id))"""
+
+
+@query(
+    "t12_incident_evidence",
+    incident_sql(f"""{INCIDENT_TEXTS}
+SELECT src_ip, dst_ip, scan_category, evidence, count(*) AS flows, {r6("start_epoch")} FROM texts
+GROUP BY src_ip, dst_ip, scan_category, start_epoch, evidence"""),
+)
+def t12_evidence(spark, sf):
+    texts = th.incident_evidence(anchored_reports(read_packets(spark, sf)))
+    return rounded(texts, "src_ip", "dst_ip", "scan_category", "evidence", "flows", "start_epoch")
+
+
+@query(
+    "t12_incident_records",
+    incident_sql(f"""{INCIDENT_TEXTS},
+lists AS (SELECT src_ip, dst_ip, scan_category, start_epoch, list_sort(list_distinct(list(evidence))) AS evidence
+  FROM texts GROUP BY ALL)
+SELECT src_ip, dst_ip, scan_category, flow_count, {r6("start_epoch", "threat_score")},
+  array_to_string(evidence[1:3], '|') AS evidence, greatest(0, len(evidence) - 3) AS evidence_more
+FROM inc0 JOIN lists USING (src_ip, dst_ip, scan_category, start_epoch)"""),
+)
+def t12_records(spark, sf):
+    records = incident_records(read_packets(spark, sf), shown=3)
+    return rounded(
+        records.withColumn("evidence", F.concat_ws("|", "evidence")),
+        "src_ip", "dst_ip", "scan_category", "flow_count", "start_epoch", "threat_score", "evidence", "evidence_more",
+    )
+
+
 @query(
     "c4_fill_absent_features",
     f"""SELECT flow_id, {r6("confidence=" + RULE_CONFIDENCE)} FROM

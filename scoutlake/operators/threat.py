@@ -242,15 +242,47 @@ def incident_anchors(
     return latest_node(reports, nodes, INCIDENT_KEY, "start_s", span_s)
 
 
-def _distinct_texts(anchored: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct array elements per incident, de-duplicated before collecting."""
-    key = [*INCIDENT_KEY, "node"]
-    single = anchored.select(*key, F.explode(column).alias("x")).distinct()
-    return single.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias(column))
+INCIDENT_ID = [*INCIDENT_KEY, "start_epoch"]
+
+
+def incident_evidence(anchored: DataFrame) -> DataFrame:
+    """(INCIDENT_ID, evidence, flows): one row per incident and distinct evidence text, with
+    the number of reports that give it.
+
+    Texts carry measured numbers, so a long incident may have as many as it has flows; they
+    stay rows, counted before they are shuffled, and no task holds those of one incident.
+    """
+    texts = anchored.select(*INCIDENT_KEY, F.col("node").alias("start_epoch"), F.explode("evidence").alias("evidence"))
+    return texts.groupBy(*INCIDENT_ID, "evidence").agg(F.count(F.lit(1)).alias("flows"))
+
+
+def incident_documents(incident_rows: DataFrame, texts: DataFrame, shown: int = 1000, salts: int = 64) -> DataFrame:
+    """Incidents as nested records for a sink: ``evidence`` holds the first ``shown`` texts
+    in order, ``evidence_more`` counts the rest, which ``incident_evidence`` lists whole.
+
+    The first texts are chosen within salted parts of an incident, then among those.
+    """
+    def first(rows: DataFrame, parts: list[str]) -> DataFrame:
+        order = Window.partitionBy(*INCIDENT_ID, *parts).orderBy("evidence")
+        return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= shown)
+
+    single = texts.select(*INCIDENT_ID, "evidence").withColumn("_salt", F.pmod(F.xxhash64("evidence"), F.lit(salts)))
+    kept = first(first(single, ["_salt"]), [])
+    arrays = kept.groupBy(*INCIDENT_ID).agg(F.array_sort(F.collect_list("evidence")).alias("evidence"))
+    counts = texts.groupBy(*INCIDENT_ID).agg(F.count(F.lit(1)).alias("_texts"))
+    none = F.array().cast("array<string>")
+    return (
+        incident_rows.join(counts, INCIDENT_ID, "left")
+        .join(arrays, INCIDENT_ID, "left")
+        .withColumn("evidence", F.coalesce("evidence", none))
+        .withColumn("evidence_more", F.coalesce("_texts", F.lit(0)) - F.size("evidence"))
+        .drop("_texts")
+    )
 
 
 def incidents(anchored: DataFrame) -> DataFrame:
-    """Incident rows from anchored reports, ordered by start."""
+    """Incident rows from anchored reports, ordered by start; their evidence is a table of
+    its own, ``incident_evidence``."""
     key = [*INCIDENT_KEY, "node"]
     means = {
         n: F.avg(n).alias(n)
@@ -268,18 +300,14 @@ def incidents(anchored: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("protocol")).alias("protocols"),
         *means.values(),
     )
-    out = (
-        core.join(port_summary(anchored, key), key)
-        .join(_distinct_texts(anchored, "evidence"), key)
-        .withColumns(
-            {
-                "ml_prediction": (F.round("ml_confidence", 12) >= 0.5).cast("int"),
-                "severity": severity(F.col("threat_score")),
-                "timestamp": utc_text("start_epoch"),
-                "protocol": F.concat_ws(", ", "protocols"),
-                "mitre_mappings": F.array_sort("mitre_mappings"),
-            }
-        )
+    out = core.join(port_summary(anchored, key), key).withColumns(
+        {
+            "ml_prediction": (F.round("ml_confidence", 12) >= 0.5).cast("int"),
+            "severity": severity(F.col("threat_score")),
+            "timestamp": utc_text("start_epoch"),
+            "protocol": F.concat_ws(", ", "protocols"),
+            "mitre_mappings": F.array_sort("mitre_mappings"),
+        }
     )
     return out.drop("node", "protocols").orderBy("start_epoch", "src_ip", "dst_ip", "scan_category")
 

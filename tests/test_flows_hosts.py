@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scoutlake.operators.flows import assemble_flows
 from scoutlake.operators.hosts import feature_table, host_profiles
 from scoutlake.operators.labels import label_by_scanners, label_flows
+from scoutlake.operators.threat import INCIDENT_KEY, incident_documents, incident_evidence
 from scoutlake.plans.analysis import incident_table
 
 
@@ -53,6 +54,25 @@ def test_smoke_scenario(spark, packets):
     assert one[0]["dst_port"] == "20, 21, 22, 23, 24 (+20 more)"
 
 
+def test_incident_evidence_is_whole_as_rows_and_bounded_in_records(spark):
+    """One incident of 3000 reports: every distinct text is a row; a record shows the first."""
+    rows = [("c", "a", "b", "Scan", 10.0, f"text {k % 2500:04d}", "common") for k in range(3000)]
+    rows += [("c", "a", "b", "Scan", 99.0, "late", "common"), ("c", "x", "y", "Scan", 5.0, None, None)]
+    anchored = spark.createDataFrame(rows, "capture string, src_ip string, dst_ip string, scan_category string, node double, e1 string, e2 string")
+    anchored = anchored.selectExpr("* except (e1, e2)", "array_compact(array(e1, e2)) AS evidence")
+    texts = incident_evidence(anchored)
+    got = {(r.src_ip, r.start_epoch, r.evidence): r.flows for r in texts.collect()}
+    assert len(got) == 2501 + 2 and got["a", 10.0, "common"] == 3000
+    assert got["a", 10.0, "text 0000"] == 2 and got["a", 10.0, "text 2499"] == 1
+    heads = anchored.select(*INCIDENT_KEY, anchored.node.alias("start_epoch")).distinct()
+    for shown in (1, 40, 5000):
+        records = {(r.src_ip, r.start_epoch): r for r in incident_documents(heads, texts, shown).collect()}
+        for (src, at), r in records.items():
+            whole = sorted(t for s, a, t in got if (s, a) == (src, at))
+            assert r.evidence == whole[:shown] and r.evidence_more == len(whole[shown:])
+        assert len(records) == 3 and records["x", 5.0].evidence == []
+
+
 def test_syn_scan_next_to_background(packets):
     hosts = hosts_of(packets(sorted(syn_scan() + background())))
     scan = hosts["10.0.0.50"]
