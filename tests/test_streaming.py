@@ -38,6 +38,15 @@ def test_closed_flows(spark, pieces):
     assert want.select(names).exceptAll(closed.select(names)).count() == 0
 
 
+def test_windows_end_at_whole_seconds(spark, pieces, packets):
+    rows = packets([(t, "10.0.0.1", 1, "10.0.0.2", 2, 6, 10, "S") for t in (0.25, 0.9999998, 1.0, 4.9999997, 5.000001)])
+    tumbling = queries.drain_whole(pieces(rows, "ts_s", 1), sf.tumbling_counts, "tumbling")
+    assert sorted(tuple(r) for r in tumbling.collect()) == [(0, 2), (1, 1), (4, 1), (5, 1)]
+    sliding = queries.drain_whole(pieces(rows, "ts_s", 1), sf.sliding_hosts, "sliding")
+    got = {r["window_start"]: r["packets"] for r in sliding.collect()}
+    assert got == {5: 1, 0: 5, -5: 5, -10: 5, -15: 5, -20: 5, -25: 4}
+
+
 def test_tracked_flows_have_the_batch_intervals(spark, pieces, packets):
     table = read_packets(spark, SF)
     with queries.rocksdb_state(spark):
