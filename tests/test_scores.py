@@ -79,6 +79,15 @@ def test_fixed_text_rounds_ties_to_even(spark):
     assert [tuple(r) for r in got] == [("0.12", "0.1", "0"), ("6.25", "6.2", "6"), ("2.50", "2.5", "2")]
 
 
+def test_fixed_text_is_of_the_binary_value(spark):
+    values = [3.15, 0.35, 1.005, 2.675, 0.45, 8.45, 1e-7, 0.0, 99.95, 12345678.05, -3.15, 1e17]
+    values += [k / 1000 for k in range(0, 4000, 5)]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 3):
+        got = [r[0] for r in table.select(ex.fixed(F.col("x"), digits)).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]
+
+
 CIC = {
     " Flow Duration": "2000000", "Total Fwd Packets": 3, " Total Backward Packets": 1, "Total Length of Fwd Packets": 30,
     " Total Length of Bwd Packets": 10, "SYN Flag Count": 1, "ACK Flag Count": 2, "RST Flag Count": 0, "FIN Flag Count": 0,
