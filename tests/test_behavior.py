@@ -111,6 +111,24 @@ def test_pruning_loses_no_pair(spark, popular, threshold):
         assert r["shared_ports"] == len(sets[r["host_a"]][1] & sets[r["host_b"]][1])
 
 
+@pytest.mark.parametrize("most", [1000, 2])
+def test_hosts_with_equal_sets_are_compared_once(spark, most):
+    """Three kinds of hosts, 60 hosts: the sets of three (one of which is apart) are compared, whatever the hosts."""
+    kinds = [({"a", "b"}, {"1", "2", "3"}), ({"a", "b"}, {"1", "2", "4"}), ({"x"}, {"9"})]
+    rows = [("c", f"h{h:02}", k, v) for h in range(60) for k, vs in zip(("ip", "port"), kinds[h % 3], strict=True) for v in vs]
+    tokens = spark.createDataFrame(rows, "capture string, src_ip string, kind string, value string")
+    classes = co.host_classes(tokens, most)
+    leaders = {r["src_ip"]: r["leader"] for r in classes.collect()}
+    if most == 2:  # sets above the limit are classes of their own
+        assert leaders == {f"h{h:02}": "h02" if h % 3 == 2 else f"h{h:02}" for h in range(60)}
+        return
+    assert leaders == {f"h{h:02}": f"h{h % 3:02}" for h in range(60)}
+    got = {(r[1], r[2]): tuple(r[3:]) for r in co.class_pairs(tokens, classes, 0.6).collect()}
+    assert set(got) == {("h00", "h00"), ("h00", "h01"), ("h01", "h00"), ("h01", "h01"), ("h02", "h02")}
+    assert got["h00", "h01"][:2] == got["h01", "h00"][:2] == (2, 2) and got["h00", "h00"] == (2, 3, 0.5)
+    assert got["h00", "h01"][2] == pytest.approx(0.3 + 0.2 * 2 / 4)
+
+
 def test_low_thresholds_are_refused(spark):
     tokens = spark.createDataFrame([("c", "a", "ip", "x")], "capture string, src_ip string, kind string, value string")
     with pytest.raises(ValueError, match="every pair"):
