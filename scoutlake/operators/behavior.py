@@ -457,6 +457,83 @@ def most_abnormal(drift: DataFrame, totals: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def _rank(events: DataFrame, values: DataFrame, name: str, block_s: float, equal: bool) -> DataFrame:
+    """``events`` with the number of ``values`` (capture, v) below their time, or up to it if ``equal``."""
+    block = F.floor(F.col("ts_s") / F.lit(block_s))
+    blocks = events.select("capture", block.alias("_k")).distinct().withColumn("v", F.lit(None).cast("double"))
+    placed = values.select("capture", F.floor(F.col("v") / F.lit(block_s)).alias("_k"), "v")
+    held = blocks.unionByName(placed).groupBy("capture", "_k").agg(F.sort_array(F.collect_list("v")).alias("_v"))
+    before = Window.partitionBy("capture").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_n", F.coalesce(F.sum(F.size("_v")).over(before), F.lit(0)))
+    ts = F.col("ts_s")
+    here = F.size(F.filter("_v", lambda v: (v <= ts) if equal else (v < ts)))
+    return events.withColumn("_k", block).join(held, ["capture", "_k"]).withColumn(name, F.col("_n") + here).drop("_k", "_v", "_n")
+
+
+def swept_stats(events: DataFrame, points: DataFrame, nodes: DataFrame, window_s: float, block_s: float) -> DataFrame:
+    """``points`` (host columns, ``idx``) with the drift stats of the window that ends at node
+    ``idx`` of ``nodes`` (capture, node, idx), where windows overlap much.
+
+    An event is in the windows of consecutive nodes, so it adds at the first and is taken off
+    behind the last, and so does a value over the joined windows of its events: the work grows
+    with the events, not with events times windows.
+    """
+    cuts = nodes.select("capture", (F.col("node") - F.lit(float(window_s))).alias("v"))
+    seen = _rank(events, nodes.select("capture", F.col("node").alias("v")), "on", block_s, False)
+    seen = stage(_rank(seen, cuts, "off", block_s, True).filter("on < off"), "swept")
+
+    def both_ends(rows: DataFrame, *columns: str) -> DataFrame:
+        ends = F.array(
+            F.struct(F.col("on").alias("idx"), F.lit(1).alias("w")), F.struct(F.col("off").alias("idx"), F.lit(-1).alias("w"))
+        )
+        return rows.select(*HOST, *columns, F.explode(ends).alias("_e")).select(*HOST, *columns, "_e.*")
+
+    # Seconds as decimals, so that what is taken off leaves exactly nothing.
+    lasting = F.when(F.col("session_duration") > 0, F.col("session_duration").cast("decimal(25,12)"))
+    plain = both_ends(seen.withColumn("lasting", lasting), "lasting").groupBy(*HOST, "idx").agg(
+        F.sum("w").alias("packets"), F.sum(F.col("lasting") * F.col("w")).alias("lasted"),
+        F.sum(F.when(F.col("lasting").isNotNull(), F.col("w"))).alias("sessions"),
+    )
+    value = F.explode(F.array(
+        F.struct(F.lit("ips").alias("kind"), F.col("dst_ip").alias("value")),
+        F.struct(F.lit("ports").alias("kind"), F.col("dst_port").cast("string").alias("value")),
+    ))
+    values = seen.select(*HOST, "on", "off", value.alias("t")).select(*HOST, "on", "off", "t.*").filter("value IS NOT NULL").distinct()
+    past = F.lag("off").over(Window.partitionBy(*HOST, "kind", "value").orderBy("on", "off"))
+    fresh = values.withColumn("on", F.greatest("on", past)).filter("on < off")
+    spread_values = both_ends(fresh, "kind").groupBy(*HOST, "idx").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("w"))).alias(k) for k in ("ips", "ports")]
+    )
+    steps = plain.unionByName(spread_values, allowMissingColumns=True)
+    asked = points.withColumn("_point", F.lit(True))
+    # Peers included: what begins at a node counts there.
+    so_far = Window.partitionBy(*HOST).orderBy("idx").rangeBetween(Window.unboundedPreceding, 0)
+
+    def running(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(so_far), F.lit(0))
+
+    totals = (
+        steps.unionByName(asked, allowMissingColumns=True)
+        .withColumns({c: running(c) for c in ("packets", "lasted", "sessions", "ips", "ports")})
+        .filter("_point")
+    )
+    mean = F.col("lasted").cast("double") / F.nullif(F.col("sessions"), F.lit(0))
+    totals = totals.select(
+        *points.columns, F.col("packets").alias("packet_count"), F.col("ips").alias("destination_ip_count"),
+        F.col("ports").alias("destination_port_count"), F.coalesce(mean, F.lit(0.0)).alias("mean_session_duration"),
+    )
+    by = both_ends(seen, "protocol").groupBy(*HOST, "protocol", "idx").agg(F.sum("w").alias("w"))
+    each = asked.select(*HOST, "idx", "_point").join(by.select(*HOST, "protocol").distinct(), HOST)
+    each = each.unionByName(by, allowMissingColumns=True)
+    counted = Window.partitionBy(*HOST, "protocol").orderBy("idx").rangeBetween(Window.unboundedPreceding, 0)
+    usage = (
+        each.withColumn("c", F.sum("w").over(counted)).filter("_point AND c > 0").groupBy(*HOST, "idx")
+        .agg(F.map_from_entries(F.collect_list(F.struct("protocol", "c"))).alias("protocol_usage"))
+    )
+    none = F.create_map().cast(NO_PROTOCOLS)
+    return totals.join(usage, [*HOST, "idx"], "left").withColumn("protocol_usage", F.coalesce("protocol_usage", none))
+
+
 def drift_timeline(events: DataFrame, base: DataFrame, every_s: float = 5.0, params: Params = DEFAULT) -> DataFrame:
     """(capture, src_ip, time, drift): drift of every host above 0, sampled at the first packet
     of the capture more than ``every_s`` after the last sample; time counts from the first
@@ -465,8 +542,10 @@ def drift_timeline(events: DataFrame, base: DataFrame, every_s: float = 5.0, par
     late = events.filter(F.col("ts_s") > every_s)
     samples = spaced_chain(late, ["capture"], "ts_s", every_s, inclusive=False)
     ready = base.filter(F.col("samples") == params.baseline_min_ticks).select(*HOST, F.col("tick").alias("_from"))
-    points = samples.join(checked_broadcast(ready), "capture").filter("node >= _from").select(*HOST, F.col("node").alias("at"))
-    current = stats_at(events, points, params.drift_window_s)
+    numbered = F.row_number().over(Window.partitionBy("capture").orderBy("node")) - 1
+    samples = stage(samples.select("capture", "node", numbered.alias("idx")), "samples")
+    points = samples.join(checked_broadcast(ready), "capture").filter("node >= _from").select(*HOST, F.col("node").alias("at"), "idx")
+    current = swept_stats(events, points, samples, params.drift_window_s, every_s)
     rest = [c for c in base.columns if c not in [*HOST, "tick"]]
     timed = base.select(*HOST, F.col("tick").alias("at"), F.struct(*rest).alias("_base"))
     marked = current.withColumn("_point", F.lit(True)).unionByName(timed, allowMissingColumns=True)

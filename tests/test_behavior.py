@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoutlake.operators import behavior as be
 from scoutlake.operators import correlate as co
+from scoutlake.operators.flows import assemble_flows
 from scoutlake.params import Params
 from scoutlake.plans import behavior as plan
 
@@ -151,3 +152,33 @@ def test_empty_window_has_zero_stats(spark, packets):
     got = be.stats_at(events, points, 300.0).first()
     assert got["packet_count"] == 0 and got["protocol_usage"] == {}
     assert events.filter(F.col("session_duration") > 0).count() == 0
+
+
+def test_sweep_equals_stats_per_window(spark, packets, monkeypatch):
+    """Same stats as window by window, silences and equal times included, from rows that do not
+    grow with the overlap of the windows."""
+    rng = random.Random(5)
+    times = sorted([round(rng.uniform(0, 60), 2) for _ in range(150)] + [float(t) for t in range(0, 60, 6)] + [400.0, 400.0, 431.0])
+    rows = [(t, f"10.0.0.{rng.randint(1, 3)}", 5, f"d{rng.randint(1, 4)}", rng.randint(80, 84), rng.choice([6, 17]), 20, "A") for t in times]
+    table = packets(rows)
+    events = be.profile_events(table, assemble_flows(table))
+    nodes = [0.0, 6.0, 12.0, 30.0, 41.5, 60.0, 330.0, 400.0, 431.0]
+    samples = spark.createDataFrame([("t.pcap", t, i) for i, t in enumerate(nodes)], "capture string, node double, idx int")
+    hosts = events.select(*be.HOST).distinct()
+    points = samples.join(hosts, "capture").select(*be.HOST, F.col("node").alias("at"), "idx")
+    staged = {}
+
+    def counted(df, name):
+        staged[name] = df.count()
+        return df
+
+    monkeypatch.setattr(be, "stage", counted)
+    got = be.swept_stats(events, points, samples, 30.0, 5.0)
+    want = be.stats_at(events, points.drop("idx"), 30.0)
+    names = ["packet_count", "destination_ip_count", "destination_port_count", "mean_session_duration", "protocol_usage"]
+
+    def plain(df):
+        return {(r["src_ip"], r["at"]): [pytest.approx(r[n]) if n == "mean_session_duration" else r[n] for n in names] for r in df.collect()}
+
+    assert plain(got) == {k: [x.expected if hasattr(x, "expected") else x for x in v] for k, v in plain(want).items()}
+    assert 0 < staged["swept"] <= len(rows)
