@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,43 @@ def test_training_grid_goes_on_where_it_stopped(spark):
     assert runs.groupBy(keys).count().where("count > 1").count() == 0 and runs.count() == 8
     assert written() == files  # the runs that were done are not trained again
     assert me.evaluate(again, keys).where("accuracy < 0.8").count() == 0
+
+
+def test_fits_of_a_grid_run_at_once_and_the_first_of_equals_wins(spark, monkeypatch):
+    """Each fit waits for the other; one after another they would wait in vain."""
+    both = threading.Barrier(2, timeout=60)
+    fit_one = mo.fit_one
+
+    def together(*args):
+        both.wait()
+        return fit_one(*args)
+
+    monkeypatch.setattr(mo, "fit_one", together)
+    df = blobs(spark)
+    grid = [{"trees": 5, "depth": d} for d in (4, 3)]
+    assert mo.tune("random_forest", df, df, 1, ["a", "b", "c"], grid).params == grid[0]
+    folder = new_folder(spark, "grid")
+    splits = df.withColumn("subset", F.explode(F.array(*map(F.lit, ["train", "val", "test"])))).withColumn("strategy", F.lit("a"))
+    _, runs = mo.train_grid(splits, ["random_forest"], [1, 2], folder, ["a", "b", "c"], {"random_forest": grid[:1]})
+    assert [r.seed for r in runs.orderBy("seed").collect()] == [1, 2]
+
+
+def test_boosted_trees_take_copies_as_weights(spark):
+    """Repeated rows reach the boosted trees once; the scores are those of all rows."""
+    names = ["a", "b", "c"]
+    once = blobs(spark, 80).localCheckpoint()
+    rows = once.withColumn("row_id", F.explode(F.sequence(F.lit(0), F.col("row_id") % 7)))
+    counted = mo.counted_rows(rows, names)
+    assert counted.count() == once.count() and counted.agg(F.sum("copies")).first()[0] == rows.count()
+    params = {"depth": 2, "rate": 0.1, "rounds": 5}
+    got = mo.fit_one("xgboost", params, rows, names, 1)
+    want = mo.GBTClassifier(labelCol="label", maxDepth=2, stepSize=0.1, maxIter=5, seed=1).fit(mo.vectors(rows, names))
+    probability = F.element_at(mo.vector_to_array("probability"), 2).alias("want")
+    pairs = got.score(once).select(*names, "score").join(want.transform(mo.vectors(once, names)).select(*names, probability), names)
+    for r in pairs.collect():
+        assert r.score == pytest.approx(r.want, abs=1e-9)
+
+
+def test_forests_keep_node_ids(spark):
+    build = mo.FAMILIES["random_forest"].build
+    assert build({"trees": 2, "depth": 2}, 1, 3, 10).getCacheNodeIds()
