@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutlake.llm import decontam, langid, mixing, ngram_join, secrets
-from scoutlake.session import stage
+from scoutlake.session import checked_broadcast, stage
 
 # Near duplicates in the pipeline: five words, similarity of 0.8 or more.
 SHINGLE_WORDS = 5
@@ -32,9 +32,13 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near duplicates, the one with the least id."""
     found = stage(ngram_join.ngram_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "duplicates")
     judged = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("of"), F.count("*").alias("n"))
+    judged = stage(judged.where("doc_id <> of or n > 1"), "judged")
+    # Ids go to the texts, not texts to the ids, which would shuffle the whole corpus twice.
+    other = checked_broadcast(judged.select("doc_id"), ngram_join.BROADCAST_IDS)
+    twice = checked_broadcast(judged.where("doc_id = of").select("doc_id"), ngram_join.BROADCAST_IDS)
     rows = docs.select("doc_id", F.struct("*").alias("row"))
-    once = rows.join(judged.where("doc_id <> of or n > 1"), "doc_id", "left_anti")
-    again = rows.join(judged.where("doc_id = of and n > 1"), "doc_id", "left_semi")
+    once = rows.join(other, "doc_id", "left_anti")
+    again = rows.join(twice, "doc_id", "left_semi")
     first = again.groupBy("doc_id").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row"))
     return once.unionByName(first).select("row.*")
 

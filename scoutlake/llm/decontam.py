@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutlake.session import stage
+from scoutlake.session import checked_broadcast, stage
 
 SHINGLE = 5
 PERCENT = 80
@@ -24,6 +24,7 @@ BLOCKS = (13, 13, 13, 13, 12)
 FLIPS = 3
 RADIUS = len(BLOCKS) * (FLIPS + 1) - 1  # 19 of 64; similarity 0.8 lies near 10 with deviation 3
 BROADCAST_SHINGLES = 500_000
+BROADCAST_IDS = 1_000_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -148,7 +149,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, whose text repeats no item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    found = stage(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    # Ids go to the texts, not texts to the ids, which would shuffle the whole corpus.
+    found = checked_broadcast(found, BROADCAST_IDS)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked"]), "left_anti")
 
 

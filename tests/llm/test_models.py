@@ -389,3 +389,15 @@ def test_least_of_repeated_rows_stays(spark):
     for order in (rows, rows[::-1]):
         got = corpus_pipeline.duplicates_stage(spark, spark.createDataFrame(order, SCHEMA), SF).collect()
         assert {(r.doc_id, r.text[:1], r.source) for r in got} == {(1, "a", "r"), (2, "o", "s")}
+
+
+def test_texts_are_not_shuffled_to_drop_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        for step in (corpus_pipeline.duplicates_stage, corpus_pipeline.decontamination_stage):
+            plan = step(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
