@@ -10,7 +10,9 @@ are frequent, so they were proposed or join, or that pass reaches and extends th
 
 The proposals reach the tasks as a filter of fixed size: bits at hashes of the phrases. What
 passes it by chance is counted too and drops out by its count, so no result depends on it.
-Counts are kept by the phrases themselves, not by hashes.
+Counts are kept by the phrases themselves, not by hashes. Where the border is large, short
+hashes are counted first: a hash counts all phrases that have it, so a phrase whose hash is
+found too seldom is not frequent, and only the text of the others is shuffled and counted.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ EASE = 0.9  # the sample's limit, as a share of the limit scaled to it
 PART = 1 << 21  # bytes of text counted at once
 FILTER_BITS = 25  # log2 of the bits of the filter, which is all that is broadcast
 NO_LANG = "und"
+SHORT = np.uint64(24)  # bits that a short hash leaves out of 64
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
@@ -75,6 +78,26 @@ def _text_hashes(texts: pa.Array) -> np.ndarray:
     return np.concatenate([span_hashes(p.data, p.byte_offsets[:-1], p.byte_offsets[1:]) for p in slices(batch, "t", lower=False)] or [np.empty(0, np.uint64)])
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return h >> SHORT
+
+
+def _slots(h: np.ndarray, log: int) -> pa.RecordBatch:
+    """(slot, mask): the bits of hashes, by words of a filter of 2**log bits."""
+    at = Filter.places(h, log).ravel()
+    slot, where = np.unique((at >> np.uint64(6)).astype(np.int64), return_inverse=True)
+    mask = np.zeros(len(slot), np.uint64)
+    np.bitwise_or.at(mask, where, np.uint64(1) << (at & np.uint64(63)))
+    return pa.record_batch([pa.array(slot), pa.array(mask.view(np.int64))], names=["slot", "mask"])
+
+
+def _filter_from(slots: DataFrame, log: int) -> Filter:
+    found = slots.groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    bits = np.zeros(1 << (log - 6), np.uint64)
+    bits[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return Filter(bits)
+
+
 def filter_of(phrases: DataFrame) -> Filter:
     """The filter that holds ``phrases`` (lang, phrase)."""
     log = FILTER_BITS
@@ -88,17 +111,9 @@ def filter_of(phrases: DataFrame) -> Filter:
             for k in range(1, int(size.max())):
                 more = size > k
                 h[more] = _extended(h[more], words[first[more] + k])
-            at = Filter.places(h, log).ravel()
-            slot, where = np.unique((at >> np.uint64(6)).astype(np.int64), return_inverse=True)
-            mask = np.zeros(len(slot), np.uint64)
-            np.bitwise_or.at(mask, where, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.record_batch([pa.array(slot), pa.array(mask.view(np.int64))], names=["slot", "mask"])
-
-    slots = arrow_map(phrases.select("lang", "phrase"), "slot long, mask long", make).groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask"))
-    found = slots.toArrow()
-    bits = np.zeros(1 << (log - 6), np.uint64)
-    bits[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return Filter(bits)
+            yield _slots(h, log)
+
+    return _filter_from(arrow_map(phrases.select("lang", "phrase"), "slot long, mask long", make), log)
 
 
 class Pieces:
@@ -167,7 +182,7 @@ def _distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def counted_phrases(pieces: Pieces, lang: np.ndarray, lang_hash: np.ndarray, filters: list[Filter], eager: bool, most: int):
-    """(k, first word of each, counts): the phrases of a slice that the pass of the last filter counts.
+    """(k, first word of each, hashes, counts): the phrases of a slice that the pass of the last filter counts.
 
     ``lang`` has a number per text, ``lang_hash`` a hash for each number. Single words are
     reached by the first pass. A phrase is reached by a pass if its parts without the last
@@ -180,10 +195,10 @@ def counted_phrases(pieces: Pieces, lang: np.ndarray, lang_hash: np.ndarray, fil
     word, hashes = coded.indices.to_numpy(), _text_hashes(coded.dictionary)
     first, number, count = _distinct(lang[pieces.text] * len(coded.dictionary) + word, len(lang_hash) * len(coded.dictionary))
     last = len(filters) - 1
-    if last == 0:
-        yield 1, first, count
     single, singles = number, len(first)
     h = _started(hashes[word[first]], lang_hash[lang[pieces.text[first]]])
+    if last == 0:
+        yield 1, first, h, count
     new = np.zeros(len(first), bool)  # phrases that only the last of several passes reaches
     at = np.arange(len(pieces))  # places of the phrases reached, in order
     for k in range(2, most + 1):
@@ -201,22 +216,52 @@ def counted_phrases(pieces: Pieces, lang: np.ndarray, lang_hash: np.ndarray, fil
         h = _extended(h[prefix[some]], hashes[word[place[some] + k - 1]])
         new = both[some] == 1 << last if last else np.zeros(len(some), bool)
         use = new if last else np.ones(len(some), bool)
-        yield k, place[some][use], count[use]
+        yield k, place[some][use], h[use], count[use]
         at = place
 
 
-def pass_over(docs: DataFrame, filters: list[Filter], eager: bool = False, most: int = WORDS) -> DataFrame:
+def _reached(batch: pa.RecordBatch, known: list[Filter], eager: bool, most: int):
+    """(pieces, language code of each text, language names, counted phrases) of every slice of a
+    batch (lang, text)."""
+    coded = batch.column(0).dictionary_encode()
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    lang_hash = _text_hashes(names)
+    for at, part in _small_slices(batch):
+        pieces, lang = Pieces(part), code[at : at + len(part)]
+        yield pieces, lang, names, counted_phrases(pieces, lang, lang_hash, known, eager, most)
+        pa.default_memory_pool().release_unused()
+
+
+def often_hashed(docs: DataFrame, filters: list[Filter], least: int, most: int = WORDS) -> Filter:
+    """The short hashes that the phrases of a pass have ``least`` times or more together."""
+    log = FILTER_BITS
+    shared = docs.sparkSession.sparkContext.broadcast([f.bits for f in filters])
+
+    def make(batch) -> Iterator[pa.RecordBatch]:
+        for _, _, _, told in _reached(batch, [Filter(bits) for bits in shared.value], False, most):
+            for _, _, h, count in told:
+                yield pa.record_batch([pa.array(_short(h).view(np.int64)), pa.array(count)], names=["h", "n"])
+
+    def bits(batch) -> Iterator[pa.RecordBatch]:
+        yield _slots(mixed(batch.column(0).to_numpy().view(np.uint64)), log)
+
+    totals = arrow_map(docs.select("lang", "text"), "h long, n long", make).groupBy("h").agg(F.sum("n").alias("n"))
+    return _filter_from(arrow_map(totals.where(F.col("n") >= least).select("h"), "slot long, mask long", bits), log)
+
+
+def pass_over(
+    docs: DataFrame, filters: list[Filter], eager: bool = False, most: int = WORDS, often: Filter | None = None
+) -> DataFrame:
     """Exact (lang, k, phrase, n) of all phrases that the pass of the last filter reaches and the
-    one before did not; the first pass also has k = 0, the words of each language."""
+    one before did not; the first pass also has k = 0, the words of each language. With ``often``
+    only phrases whose short hash it holds."""
     shared = docs.sparkSession.sparkContext.broadcast([f.bits for f in filters])
+    kept = docs.sparkSession.sparkContext.broadcast(None if often is None else often.bits)
 
     def make(batch) -> Iterator[pa.RecordBatch]:
         known = [Filter(bits) for bits in shared.value]
-        coded = batch.column(0).dictionary_encode()
-        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        lang_hash = _text_hashes(names)
-        for at, part in _small_slices(batch):
-            pieces, lang = Pieces(part), code[at : at + len(part)]
+        held = None if kept.value is None else Filter(kept.value)
+        for pieces, lang, names, told in _reached(batch, known, eager, most):
 
             def rows(of, phrases, count):
                 return pa.record_batch([names.take(pa.array(of)), phrases, pa.array(count)], names=["lang", "phrase", "n"])
@@ -224,10 +269,12 @@ def pass_over(docs: DataFrame, filters: list[Filter], eager: bool = False, most:
             if len(known) == 1 and len(pieces):
                 total = np.bincount(lang[pieces.text], minlength=len(names))
                 yield rows(np.arange(len(names)), pa.array([""] * len(names)), total)
-            for k, first, count in counted_phrases(pieces, lang, lang_hash, known, eager, most):
+            for k, first, h, count in told:
+                if held is not None:
+                    use = held.holds(mixed(_short(h)))
+                    first, count = first[use], count[use]
                 if len(first):
                     yield rows(lang[pieces.text[first]], pieces.phrases(first, k), count)
-            pa.default_memory_pool().release_unused()
 
     found = arrow_map(docs.select("lang", "text"), EMITTED, make).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
@@ -246,7 +293,9 @@ def frequent_phrases(docs: DataFrame, least: int, proposals: DataFrame | None =
     known = proposals if proposals is not None else spark.createDataFrame([], COUNTED).select("lang", "phrase")
     filters, eager, found = [filter_of(known)], False, None
     while True:
-        told = pass_over(docs, filters, eager, most)
+        # The border of proposals is nearly all of a corpus; that of other passes is small.
+        often = often_hashed(docs, filters, least, most) if proposals is not None and not eager else None
+        told = pass_over(docs, filters, eager, most, often)
         new = stage(told.where(F.col("n") >= F.when(F.col("k") == 0, 1).otherwise(least)), "phrases")
         found = new if found is None else found.unionByName(new)
         if eager:

@@ -112,3 +112,15 @@ def test_products_beyond_64_bits(spark):
     rows = [("en", 0, "", big), ("en", 1, "a", big // 3), ("en", 1, "b", big // 7), ("en", 2, "a b", big // 11)]
     got = collocations.scored(spark.createDataFrame(rows, collocations.COUNTED)).collect()
     assert [r["score"] for r in got] == [1000 * (big // 11) * big // ((big // 3) * (big // 7))]
+
+
+def test_seldom_phrases_are_not_shuffled(spark):
+    # Word pairs that all differ, beside one that is frequent: only short hashes of the others travel.
+    texts = [f"w{k % 50} v{k // 50}" for k in range(2500)] + ["good morning"] * 100
+    rows = numbered([(t, "en") for t in texts])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", "text")
+    words = collocations.filter_of(spark.createDataFrame([("en", w) for w in [f"w{k}" for k in range(50)] + [f"v{k}" for k in range(50)] + ["good", "morning"]], "lang string, phrase string"))
+    often = collocations.often_hashed(docs, [words], 50)
+    got = {r.phrase: r.n for r in collocations.pass_over(docs, [words], often=often).where("k > 0").collect()}
+    assert got["good morning"] == 100 and got["w7"] == 50 and got["v7"] == 50
+    assert not [p for p in got if p.startswith("w") and " " in p]
