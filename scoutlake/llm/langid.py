@@ -25,6 +25,7 @@ SIZES = (2, 3, 4)
 BITS = 16
 DIMS = 16
 SEGMENT = 40  # words
+SLICE = 1 << 19  # bytes of text handled at once, some hundred bytes of memory each
 EPOCHS = 3
 RATE = 4.0
 SEED = 5
@@ -113,20 +114,18 @@ def _novelty(frequencies: np.ndarray, parts: list[Slice], texts: np.ndarray, lab
 def _fit(classes: int):
     def fit(batch):
         labels = batch.column(1).to_numpy()
-        words, buckets, of_text = [], [], []
-        seen = 0
-        for part in slices(batch):
-            for w, b in subwords(part, SIZES, BITS):
-                words.append((w + seen).astype(np.int32))
-                buckets.append(b.astype(np.int32))
-            of_text.append(part.text_of_word() + part.row)
-            seen += len(part.starts)
-        of_text = np.concatenate(of_text)
-        place = np.arange(seen) - np.searchsorted(of_text, of_text)  # of a word in its text
-        new = np.concatenate([[True], (of_text[1:] != of_text[:-1]) | (place[1:] % SEGMENT == 0)])[:seen]
-        segment = np.cumsum(new) - 1
-        bags = Bags.of(segment[np.concatenate(words)], np.concatenate(buckets), segment[-1] + 1, BITS)
-        of_segment = of_text[np.flatnonzero(new)]
+        bags, of_segment = [], []
+        for part in slices(batch, size=SLICE):
+            place = np.arange(len(part.starts)) - np.repeat(part.offsets[:-1], np.diff(part.offsets))  # of a word in its text
+            new = place % SEGMENT == 0
+            segment = np.cumsum(new) - 1
+            pieces = [(segment[w], b) for w, b in subwords(part, SIZES, BITS)]
+            if pieces:
+                bags.append(Bags.of(*map(np.concatenate, zip(*pieces, strict=True)), segment[-1] + 1, BITS))
+                of_segment.append(part.text_of_word()[new] + part.row)
+        if not bags:
+            return {}  # no words
+        bags, of_segment = Bags.joined(bags), np.concatenate(of_segment)
         aside = np.random.default_rng(SEED).random(len(labels)) < 0.2
         learn = np.flatnonzero(~aside[of_segment])
         model = Softmax(BITS, DIMS, classes, SEED)
@@ -134,7 +133,7 @@ def _fit(classes: int):
             model.epoch(bags, learn, labels[of_segment[learn]], RATE * (1 - e / EPOCHS))
         table, bias = model.table(), model.bias
         logits, letters = [], []
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE):
             sums, counts = word_sums(part, table, SIZES, BITS)
             total = text_sums(counts, part)
             logits.append(text_sums(sums, part) / np.maximum(total, 1)[:, None] + bias)
@@ -173,12 +172,13 @@ def identify(docs: DataFrame, learn=None) -> DataFrame:
     learn = learn if learn is not None else crc_bucket("doc_id", 4) != 2
     model, languages = train(docs.where(learn).where("text is not null and lang is not null").select("doc_id", "text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast((model, languages))
-    rows = docs.select(F.struct("*").alias("row"), (~learn).alias("held_out"), "text")
+    rows = docs.select(F.struct("*").alias("row"), (~learn).alias("held_out"))
 
     def make(batch):
         now, names = shared.value
-        for part in slices(batch):
-            texts = batch.column(2).slice(part.row, len(part))
+        found = batch.column(0)  # holds the texts, so that none is sent twice
+        for part in slices(found, size=SLICE):
+            texts = found.field("text").slice(part.row, len(part))
             lettered = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()])
             if now:
                 sums, counts = word_sums(part, now["table"], SIZES, BITS)
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, learn=None) -> DataFrame:
                 best, score, lettered = np.zeros(len(part), int), np.zeros(len(part)), np.zeros(len(part), bool)
             yield pa.record_batch(
                 [
-                    batch.column(0).slice(part.row, len(part)),
+                    found.slice(part.row, len(part)),
                     batch.column(1).slice(part.row, len(part)),
                     pa.array([names[b] if ok else NONE for b, ok in zip(best, lettered, strict=True)], pa.string()),
                     pa.array(np.where(lettered, score, 0.0)),

@@ -27,10 +27,10 @@ def sizes(docs: DataFrame) -> DataFrame:
     """(row, source, draw, size): each row as a struct, its seeded place and its words."""
     digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     draw = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), draw.alias("draw"), "text")
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), draw.alias("draw"))
 
     def make(batch):
-        for part in slices(batch, lower=False):
+        for part in slices(batch.column(0), lower=False):  # the rows hold the texts, so that none is sent twice
             yield pa.record_batch(
                 [
                     *(batch.column(k).slice(part.row, len(part)) for k in range(3)),

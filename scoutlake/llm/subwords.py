@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutlake.llm.words import BLOCK, GOLDEN, INVERSE, Slice, rolled
+from scoutlake.llm.words import BLOCK, GOLDEN, INVERSE, Slice, release, rolled
 
 
 def subwords(part: Slice, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -76,7 +76,14 @@ class Bags:
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
         counts = np.diff(np.append(heads, len(key))).astype(np.float32)
         key = key[heads]
-        return cls(np.searchsorted(key >> bits, np.arange(n + 1)), key & ((1 << bits) - 1), counts)
+        return cls(np.searchsorted(key >> bits, np.arange(n + 1)), (key & ((1 << bits) - 1)).astype(np.int32), counts)
+
+    @classmethod
+    def joined(cls, parts: list[Bags]) -> Bags:
+        """The instances of all parts, one part after another."""
+        before = np.cumsum([0, *(p.edges[-1] for p in parts)])
+        edges = [np.zeros(1, np.int64), *(p.edges[1:] + b for p, b in zip(parts, before, strict=False))]
+        return cls(np.concatenate(edges), *(np.concatenate([getattr(p, k) for p in parts]) for k in ("buckets", "counts")))
 
     def take(self, rows: np.ndarray):
         """(edges, buckets, weights) of some instances, weights summing to one in each."""
@@ -153,6 +160,8 @@ def trained(sample: DataFrame, fit) -> dict:
         found = [b for b in batches if b.num_rows]
         if found:
             made = fit(pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=None)[0])
+            found = None
+            release()
             for name, value in made.items():
                 value = np.asarray(value)
                 row = [[name], [list(value.shape)], [value.astype(np.float32).tobytes()]]

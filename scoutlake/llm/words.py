@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 4 << 20  # bytes of text handled at once
 BLOCK = 1 << 18  # bytes hashed at once
+PIECE = 1 << 16  # words whose shingles are built at once
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,9 +104,10 @@ def _long_hash(data: np.ndarray) -> np.uint64:
     return np.uint64((total + len(data)) % 2**64)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = True) -> Iterator[Slice]:
-    """The texts of a batch in slices; a null is an empty text."""
-    texts = batch.column(batch.schema.get_field_index(column))
+def slices(batch: pa.RecordBatch | pa.StructArray, column: str = "text", lower: bool = True, size: int | None = None) -> Iterator[Slice]:
+    """The texts of a batch, or of its rows as structs, in slices; a null is an empty text."""
+    size = size or SLICE
+    texts = batch.field(column) if isinstance(batch, pa.StructArray) else batch.column(batch.schema.get_field_index(column))
     if texts.null_count:
         texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type)
@@ -115,7 +117,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = True) -> I
     raw = np.frombuffer(buffer, np.uint8) if buffer is not None else np.empty(0, np.uint8)
     row = 0
     while row < len(texts):
-        to = max(int(np.searchsorted(edges, edges[row] + SLICE, "right")) - 1, row + 1)
+        to = max(int(np.searchsorted(edges, edges[row] + size, "right")) - 1, row + 1)
         data = raw[edges[row] : edges[to]]
         yield _slice(row, LOWER[data] if lower else data, edges[row : to + 1] - edges[row])
         row = to
@@ -150,15 +152,26 @@ def shingles(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def pieces(part: Slice) -> Iterator[Slice]:
+    """The texts of a slice in smaller ones of about ``PIECE`` words, over the same bytes."""
+    row = 0
+    while row < len(part):
+        to = max(int(np.searchsorted(part.offsets, part.offsets[row] + PIECE, "right")) - 1, row + 1)
+        a, b = part.offsets[row], part.offsets[to]
+        yield Slice(part.row + row, part.data, part.byte_offsets[row : to + 1], part.starts[a:b], part.ends[a:b], part.offsets[row : to + 1] - a)
+        row = to
+
+
 def shingle_sets(part: Slice, size: int) -> list[np.ndarray]:
     """Sorted distinct shingles of each text."""
-    found, offsets = shingles(part, size)
     sets = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        s = np.sort(found[a:b])
-        if len(s) > 1:
-            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-        sets.append(s)
+    for piece in pieces(part):
+        found, offsets = shingles(piece, size)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            s = np.sort(found[a:b])
+            if len(s) > 1:
+                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+            sets.append(s)
     return sets
 
 
@@ -208,6 +221,13 @@ def list_array(parts: list[np.ndarray], kind=np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(kind)))
 
 
+def release() -> None:
+    """Give memory no longer used back to the system: Spark keeps a task's Python process for
+    later tasks, and meanwhile the JVM works beside it."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # the one of numpy's arrays, too
+
+
 def arrow_map(
     df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
@@ -217,5 +237,7 @@ def arrow_map(
         for batch in batches:
             if batch.num_rows:
                 yield from make(batch)
+        batch = None
+        release()
 
     return df.mapInArrow(run, schema)

@@ -13,11 +13,12 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from texts import CLASH, SCHEMA, SF, rows_of
 
 from pyspark.sql import functions as F
 
-from scoutlake.llm import decontam, extract, hmm, langid, ngram_join, outliers, secrets, toxicity
+from scoutlake.llm import decontam, extract, hmm, langid, mixing, ngram_join, outliers, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -334,6 +335,32 @@ def test_language_id_edges(edge, empty):
     assert kept.columns == edge.columns and set(CLASH) <= set(kept.columns)
 
 
+def test_language_id_and_mixing_send_each_text_to_python_once(edge, monkeypatch):
+    sent = []
+    for module in (langid, mixing):
+        run = module.arrow_map
+        monkeypatch.setattr(module, "arrow_map", lambda df, *rest, run=run: sent.append(df.columns) or run(df, *rest))
+    langid.identify(edge)
+    mixing.sizes(edge)
+    assert sent == [["row", "held_out"], ["row", "source", "draw"]]
+
+
+def test_language_id_of_many_small_slices_is_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    names = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    rows = docs.orderBy("doc_id").limit(200).collect()
+    batch = pa.record_batch([pa.array([r.text for r in rows]), pa.array([names.index(r.lang) for r in rows])], names=["text", "code"])
+    whole = langid._fit(len(names))(batch)
+    monkeypatch.setattr(langid, "SLICE", 3000)
+    parts = langid._fit(len(names))(batch)
+    assert all(np.array_equal(whole[k], parts[k]) for k in whole)
+
+
+def test_language_id_learns_nothing_from_texts_without_words(spark):
+    docs = spark.createDataFrame([(k, " \t ", "en", "a", 3) for k in range(20)] + [(20, "some words", None, "a", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.rejected for r in langid.predictions(docs).collect()] == [True] * 21
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -58,3 +58,11 @@ def test_subwords_stay_inside_words():
     assert counts.tolist() == [4 + 3, 2 + 1, 1] and sums[:, 0].tolist() == counts.tolist()
     same = {w: sorted(b[i == k].tolist()) for i, b in subwords(part, (3,), 12) for k, w in enumerate("aeg")}
     assert len(same["a"]) == 4 and len(same["g"]) == 1
+
+
+def test_shingle_sets_in_pieces_are_the_same(monkeypatch):
+    part = next(words.slices(batch(["a b c d e f g", "", None, "h", "a b a b a b", "x " * 50])))
+    whole = [s.tolist() for s in words.shingle_sets(part, 3)]
+    monkeypatch.setattr(words, "PIECE", 4)
+    assert len(list(words.pieces(part))) > 1
+    assert [s.tolist() for s in words.shingle_sets(part, 3)] == whole
