@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scoutlake.functions.exprs import half_up
 from scoutlake.operators import behavior as be
 from scoutlake.operators import correlate as co
 from scoutlake.operators.flows import assemble_flows
@@ -130,6 +131,67 @@ def test_hosts_with_equal_sets_are_compared_once(spark, most):
     assert got["h00", "h01"][2] == pytest.approx(0.3 + 0.2 * 2 / 4)
 
 
+def alike_hosts(spark, n=24):
+    """Events and drift of hosts of three kinds of sets in two captures, with many equal scores."""
+    rng = random.Random(8)
+    kinds = [({"a", "b"}, {1, 2, 3}), ({"a", "b"}, {1, 2, 4}), ({"x"}, {9})]
+    usages = [{"6": 4}, {"6": 2, "17": 2}, {"1": 1, "6": 1, "17": 2}, {}]
+    drift, events = [], []
+    for h in range(n):
+        host = ("c" if h % 5 else "d", f"h{h * 37 % n:02}")
+        ips, ports = kinds[h % 3]
+        events += [(*host, ip, port) for ip in sorted(ips) for port in sorted(ports)]
+        drift.append((*host, rng.randint(0, 2), rng.randint(1, 2), len(ips), usages[rng.randint(0, 3)], float(rng.randint(0, 3))))
+    schema = "capture string, src_ip string, packet_count bigint, destination_port_count bigint, destination_ip_count bigint, protocol_usage map<string,bigint>, drift_score double"
+    return spark.createDataFrame(events, "capture string, src_ip string, dst_ip string, dst_port int"), spark.createDataFrame(drift, schema)
+
+
+def scored_pairs(events, drift):
+    """Every pair of hosts, by the definition."""
+    sets, facts = {}, {(r[0], r[1]): r for r in drift.collect()}
+    for r in events.collect():
+        ips, ports = sets.setdefault((r[0], r[1]), (set(), set()))
+        ips.add(r[2]), ports.add(r[3])
+
+    def near(x, y):
+        return 1 - abs(x - y) / max(x, y) if max(x, y) > 0 else 1.0
+
+    out = {}
+    for a in sets:
+        for b in sets:
+            if a[0] != b[0] or a[1] >= b[1]:
+                continue
+            (ia, pa), (ib, pb), fa, fb = sets[a], sets[b], facts[a], facts[b]
+            ua, ub = fa["protocol_usage"], fb["protocol_usage"]
+            gaps = [abs(ua.get(p, 0) / sum(ua.values()) - ub.get(p, 0) / sum(ub.values())) for p in {*ua, *ub}] if ua and ub else [2.0]
+            near_all = 1 - sum(gaps) / 2 + sum(near(fa[c], fb[c]) for c in ["packet_count", "destination_port_count", "destination_ip_count", "drift_score"])
+            score = 0.3 * len(ia & ib) / len(ia | ib) + 0.2 * len(pa & pb) / len(pa | pb) + 0.1 * near_all
+            if round(score, 9) >= 0.6:
+                out[a[0], a[1], b[1]] = round(score, 9)
+    return out
+
+
+@pytest.mark.parametrize("block, places", [(2, 32), (500, 32), (3, 1)])
+def test_pairs_come_block_by_block(spark, monkeypatch, block, places):
+    """Whatever the blocks and the way protocols are compared, the pairs and their values are those of the definition."""
+    monkeypatch.setattr(co, "BLOCK_HOSTS", block)
+    monkeypatch.setattr(co, "PLACED_PROTOCOLS", places)
+    events, drift = alike_hosts(spark)
+    got = co.correlated_pairs(events, drift).collect()
+    want = scored_pairs(events, drift)
+    assert {(r["capture"], r["host_a"], r["host_b"]): r["correlation_score"] for r in got} == pytest.approx(want)
+    assert len(got) == len(want) > 40
+    known = {(r["capture"], r["src_ip"]): r["drift_score"] for r in drift.collect()}
+    assert all((known[r["capture"], r["host_a"]], known[r["capture"], r["host_b"]]) == (r["drift_score_a"], r["drift_score_b"]) for r in got)
+
+
+def test_half_up_is_round(spark):
+    """Halves go up, as in ``F.round``: also those that doubles cannot hold."""
+    rows = [((10 * k + 5) / 10**7,) for k in range(100, 1_000_000, 77)] + [(k / 1000,) for k in range(100_001)]
+    table = spark.createDataFrame(rows, "x double")
+    assert [table.filter(F.round("x", d) != half_up("x", d)).count() for d in (2, 6, 9)] == [0, 0, 0]
+
+
 def test_low_thresholds_are_refused(spark):
     tokens = spark.createDataFrame([("c", "a", "ip", "x")], "capture string, src_ip string, kind string, value string")
     with pytest.raises(ValueError, match="every pair"):
