@@ -13,6 +13,7 @@ from scoutlake.operators import correlate as co
 from scoutlake.operators.flows import assemble_flows
 from scoutlake.params import Params
 from scoutlake.plans import behavior as plan
+from scoutlake.session import stage
 
 
 def steady(src="10.0.0.1", seconds=400, dst="b", port=80, begin=0.0):
@@ -185,6 +186,30 @@ def test_pairs_come_block_by_block(spark, monkeypatch, block, places):
     assert all((known[r["capture"], r["host_a"]], known[r["capture"], r["host_b"]]) == (r["drift_score_a"], r["drift_score_b"]) for r in got)
 
 
+def test_notes_keep_no_table_of_pairs(spark, monkeypatch):
+    """The best partners among many equal ones, from a staged table of a row per host."""
+    events, drift = alike_hosts(spark, 60)
+    pairs, staged = co.correlated_pairs(events, drift), {}
+
+    def counted(df, name):
+        staged[name] = df.count()
+        return stage(df, name)
+
+    monkeypatch.setattr(co, "stage", counted)
+    got = {(r["capture"], r["src_ip"]): r["note"] for r in co.correlation_notes(pairs).collect()}
+    partners = {}
+    for (c, a, b), score in scored_pairs(events, drift).items():
+        partners.setdefault((c, a), []).append((-score, b))
+        partners.setdefault((c, b), []).append((-score, a))
+
+    def named(found):
+        more = f" and {len(found) - 3} others" if len(found) > 3 else ""
+        return co.NOTE.format(count=len(found), hosts=", ".join(h for _, h in sorted(found)[:3]) + more)
+
+    assert got == {k: named(v) for k, v in partners.items()}
+    assert max(len(v) for v in partners.values()) > 10 and staged == {"partners": len(partners)}
+
+
 def test_half_up_is_round(spark):
     """Halves go up, as in ``F.round``: also those that doubles cannot hold."""
     rows = [((10 * k + 5) / 10**7,) for k in range(100, 1_000_000, 77)] + [(k / 1000,) for k in range(100_001)]
